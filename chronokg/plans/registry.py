@@ -1,2 +1,365 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Every query over the driver's tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chronokg.functions import text as T
+from chronokg.operators import chunking, graph, retrieve, vectors, windows
+from chronokg.operators.positions import dense_index, in_book, relative_position
+from chronokg.plans import fixtures as X
+from chronokg.sources.store import unprocessed
+from chronokg.streaming.ingest import windowed_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def joined(column):
+    return F.array_join(column, ",")
+
+
+# --- vectors -----------------------------------------------------------------------------------------------------
+_D2 = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))"
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+
+
+def _query_vector(spark, sf_dir, vec_id=0):
+    return X.table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first().embedding
+
+
+@query(f"""SELECT v.vec_id, v.label, round({_D2}, 6) AS d2, round(1 / (1 + {_D2}), 6) AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_D2}, v.vec_id LIMIT 10""")
+def knn_topk(spark, sf_dir):
+    found = vectors.knn(X.table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 10)
+    return found.select("vec_id", "label", F.round("d2", 6).alias("d2"), F.round(vectors.similarity(F.col("d2")), 6).alias("similarity"))
+
+
+def _queries(spark, sf_dir, n):
+    return X.table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"""SELECT query_id, rank, vec_id, round(d2, 6) AS d2 FROM (SELECT q.vec_id AS query_id, v.vec_id, {_D2} AS d2, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, v.vec_id) AS INTEGER) AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 20) WHERE rank <= 5""")
+def knn_batch_topk(spark, sf_dir):
+    return vectors.knn_batch(X.table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir, 20), 5).withColumn("d2", F.round("d2", 6))
+
+
+@query(f"""SELECT vec_id, label FROM (SELECT v.vec_id, v.label FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 1) q ORDER BY {_D2}, v.vec_id LIMIT 30) WHERE label IN (1, 2, 3)""")
+def knn_oversample_postfilter(spark, sf_dir):
+    near = vectors.knn(X.table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir, 1), 30)
+    return retrieve.after_top_k(near.withColumnRenamed("label", "book_number"), [1, 2, 3], 30).select("vec_id", F.col("book_number").alias("label"))
+
+
+_NORM = f"sqrt({_DOT.format(a='embedding', b='embedding')})"
+
+
+@query(f"""WITH q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3 / (3 * {_NORM})) AS embedding FROM embeddings WHERE vec_id = 2)
+    SELECT CAST(row_number() OVER (ORDER BY {_D2}, v.vec_id) AS INTEGER) AS rank, v.vec_id, round({_D2}, 6) AS distance FROM embeddings v, q ORDER BY {_D2}, v.vec_id LIMIT 50""")
+def knn_normalized_query(spark, sf_dir):
+    raw = [3 * x for x in _query_vector(spark, sf_dir, 2)]
+    norm = sum(x * x for x in raw) ** 0.5
+    near = vectors.knn(X.table(spark, sf_dir, "embeddings"), [x / norm for x in raw], 50)
+    return near.withColumn("rank", F.row_number().over(Window.orderBy("d2", "vec_id"))).select("rank", "vec_id", F.round("d2", 6).alias("distance"))
+
+
+@query(f"""SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({_DOT.format(a='a.embedding', b='b.embedding')} / (sqrt({_DOT.format(a='a.embedding', b='a.embedding')}) * sqrt({_DOT.format(a='b.embedding', b='b.embedding')})), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def cosine_pairs(spark, sf_dir):
+    a = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("a"))
+    b = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("b"))
+    return a.join(b, F.col("right_id") == F.col("left_id") + 1).select("left_id", "right_id", F.round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+
+
+@query("""SELECT label, CAST(i AS INTEGER) AS place, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i""")
+def mean_pool(spark, sf_dir):
+    pooled = vectors.mean_pool(X.table(spark, sf_dir, "embeddings"), ["label"])
+    return pooled.select("label", F.posexplode("embedding").alias("place", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT vec_id, label, len(embedding) AS n FROM embeddings WHERE vec_id IN (3, 7, 999999)")
+def vector_lookup(spark, sf_dir):
+    return vectors.lookup(X.table(spark, sf_dir, "embeddings"), [3, 7, 999999]).select("vec_id", "label", F.size("embedding").cast("long").alias("n"))
+
+
+# --- text --------------------------------------------------------------------------------------------------------
+_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?…])\s+([А-ЯA-Z«\-\d])', '\1' || chr(31) || '\2', 'g'), chr(31)), lambda s: trim(s)), lambda s: s <> '')"""
+
+
+@query(rf"""WITH s AS (SELECT doc_id, {_SENTENCES} AS s FROM documents) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)""")
+def sentence_split(spark, sf_dir):
+    return X.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query()
+def greedy_chunks(spark, sf_dir):
+    return chunking.chunk_sections(X.table(spark, sf_dir, "documents"), ["doc_id"], 128)
+
+
+@query()
+def chunk_stats(spark, sf_dir):
+    return chunking.chunk_statistics(chunking.chunk_sections(X.table(spark, sf_dir, "documents"), ["doc_id"], 128))
+
+
+@query("""WITH RECURSIVE w AS (SELECT item_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM benchmark),
+    p AS (SELECT item_id, w, 1 AS i, 0 AS g, '' AS open FROM w
+        UNION ALL SELECT item_id, w, i + 1, CASE WHEN open = '' THEN g WHEN length(w[i]) // 4 > 16 OR length(open || ' ' || w[i]) // 4 > 16 THEN g + 1 ELSE g END,
+            CASE WHEN open = '' OR length(w[i]) // 4 > 16 OR length(open || ' ' || w[i]) // 4 > 16 THEN w[i] ELSE open || ' ' || w[i] END FROM p WHERE i <= len(w))
+    SELECT item_id, CAST(g AS INTEGER) AS pos, max_by(open, i) AS words FROM p WHERE open <> '' GROUP BY item_id, g""")
+def word_packing(spark, sf_dir):
+    return X.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(chunking.pack_words(F.replace("text", F.lit("\n"), F.lit(" ")), 16)).alias("pos", "words"))
+
+
+@query(r"""WITH e AS (SELECT conv_id, turn, text, CASE WHEN turn % 5 = 0 THEN 'section_header' ELSE 'text' END AS label, CASE WHEN turn % 2 = 0 THEN rtrim(text) ELSE rtrim(text, '.!?… ') END AS t FROM conversations),
+    b AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM e),
+    s AS (SELECT *, sum(CASE WHEN before IS NULL OR regexp_matches(before, '[.!?…]$') OR label LIKE '%header%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM b)
+    SELECT conv_id, min(turn) AS pos, count(*) AS n_parts, sum(length(t)) AS n_chars FROM s GROUP BY conv_id, part""")
+def fragment_merge(spark, sf_dir):
+    turns = X.table(spark, sf_dir, "conversations")
+    open_ended = F.when(F.col("turn") % 2 == 0, F.rtrim("text")).otherwise(F.rtrim("text", F.lit(".!?… ")))
+    merged = chunking.merge_fragments(turns.select("conv_id", F.col("turn").alias("pos"), F.when(F.col("turn") % 5 == 0, "section_header").otherwise("text").alias("label"), open_ended.alias("text")), "conv_id")
+    glue = F.col("n_parts") - 1 - F.lit(0)
+    return merged.select("conv_id", "pos", "n_parts", (F.length("text") - glue).cast("decimal(38,0)").alias("n_chars"))
+
+
+@query("SELECT item_id, CAST(length(text) // 4 AS INTEGER) AS tokens, CAST(greatest(1, ceil(length(text) / 80.0)) AS INTEGER) AS pieces, substr(text, 1, 80) AS first_piece FROM benchmark")
+def token_pieces(spark, sf_dir):
+    pieces = T.token_pieces(F.col("text"), 20)
+    return X.table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("tokens"), F.size(pieces).alias("pieces"), F.get(pieces, 0).alias("first_piece"))
+
+
+@query(r"""WITH f AS (SELECT lpad(CAST(o_orderkey % 97 AS VARCHAR), 2, '0') || '_' || replace(o_orderpriority, ' ', '_') || '_chunks.json' AS f, o_orderkey FROM orders)
+    SELECT o_orderkey, CAST(regexp_extract(f, '^(\d+)', 1) AS INTEGER) AS book_number, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(f, '\.[^.]*$', ''), '^\d+[_\s-]*', ''), '[_-]', ' ', 'g'), '(?i)\s*chunks$', '')) AS book_title FROM f""")
+def book_title_parse(spark, sf_dir):
+    name = F.concat(F.lpad((F.col("o_orderkey") % 97).cast("string"), 2, "0"), F.lit("_"), F.replace("o_orderpriority", F.lit(" "), F.lit("_")), F.lit("_chunks.json"))
+    return X.table(spark, sf_dir, "orders").select("o_orderkey", T.book_number(name).alias("book_number"), T.book_title(name).alias("book_title"))
+
+
+_ASKED = ["what happens in the first book", "in the second book, at the beginning", "the beginning of it all", "the end of the story", "throughout the years", "who is it", "book 7 please", "the fourth book and the fifth book"]
+
+
+@query(f"""SELECT part_key, question, CASE WHEN regexp_matches(q, '\\bbook 1\\b|first book') THEN '1' WHEN regexp_matches(q, 'second book') THEN '2' WHEN regexp_matches(q, 'third book') THEN '3' WHEN regexp_matches(q, 'fourth book') THEN '4' WHEN regexp_matches(q, 'fifth book') THEN '5'
+    WHEN regexp_matches(q, 'sixth book') THEN '6' WHEN regexp_matches(q, 'book 7|seventh book') THEN '7' WHEN regexp_matches(q, 'beginning') THEN '1,2' WHEN regexp_matches(q, 'end of') THEN '6,7' WHEN regexp_matches(q, 'throughout') THEN '1,2,3,4,5,6,7' END AS books
+    FROM (SELECT p_partkey AS part_key, ({_ASKED!r})[p_partkey % {len(_ASKED)} + 1] AS question, lower(question) AS q FROM part)""")
+def book_hints(spark, sf_dir):
+    asked = F.get(F.array(*map(F.lit, _ASKED)), (F.col("p_partkey") % len(_ASKED)).cast("int"))
+    return X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), asked.alias("question")).withColumn("books", joined(T.book_hints(F.col("question")).cast("array<string>")))
+
+
+@query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS INTEGER), 5) AS k, coalesce(CAST(json_extract(props, '$.k') AS INTEGER), 5) / 10.0::DOUBLE AS weight, coalesce(json_extract_string(props, '$.none'), 'Unknown') AS chapter FROM events")
+def json_extract_defaults(spark, sf_dir):
+    p = T.parse_json(F.concat(F.lit("```json\n"), "props", F.lit("\n```")), "k int, none string")
+    return X.table(spark, sf_dir, "events").select("event_id", p.alias("p")).select("event_id", F.coalesce("p.k", F.lit(5)).alias("k"), T.weight(F.col("p.k")).alias("weight"), T.chapter_of(F.array("p.none")).alias("chapter"))
+
+
+# --- positions ---------------------------------------------------------------------------------------------------
+@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS chunk_index, round((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / CAST(greatest(count(*) OVER (PARTITION BY conv_id) - 1, 1) AS DOUBLE), 6) AS relative_position FROM conversations")
+def relative_positions(spark, sf_dir):
+    return in_book(X.table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", ["turn"]).withColumn("relative_position", F.round("relative_position", 6))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS global_chunk_index FROM conversations")
+def global_index(spark, sf_dir):
+    return dense_index(X.table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"])
+
+
+# --- graph -------------------------------------------------------------------------------------------------------
+_LINES = "l AS (SELECT *, CAST(year(o_orderdate) - 1994 AS INTEGER) AS book_number, 'Q' || quarter(o_orderdate) AS chapter FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_MENTIONS = f"""{_LINES}, m AS (SELECT book_number, chapter, l_orderkey AS unit_id, o_orderdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, 0 AS side, 'part:' || l_partkey AS name, l_returnflag AS type, 'qty ' || CAST(floor(l_quantity) AS INTEGER) AS description FROM l
+    UNION ALL SELECT book_number, chapter, l_orderkey, o_orderdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, 1, 'supp:' || l_suppkey, l_linestatus, '' FROM l)"""
+_ORD = "o_orderdate, unit_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, side"
+
+
+@query(f"""WITH {_MENTIONS}, g AS (SELECT name, book_number, chapter, first(type ORDER BY {_ORD}) AS type, list(description ORDER BY {_ORD}) FILTER (description <> '') AS raw, string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY {_ORD}) AS text_unit_ids FROM m GROUP BY ALL)
+    SELECT name, book_number, chapter, type, coalesce(array_to_string(raw, ','), '') AS descriptions_raw, text_unit_ids, CASE WHEN raw IS NULL THEN 'Нет описания' ELSE array_to_string(list_transform(list_filter(list_zip(raw, range(1, len(raw) + 1)), lambda x: list_position(raw, x[1]) = x[2]), lambda x: x[1]), ' | ') END AS description FROM g""")
+def entity_grouping(spark, sf_dir):
+    g = graph.group_entities(X.mentions(spark, sf_dir))
+    return g.select("name", "book_number", "chapter", "type", joined("descriptions_raw").alias("descriptions_raw"), joined(F.col("text_unit_ids").cast("array<string>")).alias("text_unit_ids"), "description")
+
+
+@query(f"""WITH {_MENTIONS} SELECT name, book_number, chapter, first(type ORDER BY {_ORD}) AS type, first(description ORDER BY {_ORD}) AS description FROM m GROUP BY ALL""")
+def entity_grouping_first(spark, sf_dir):
+    return graph.group_entities_first(X.mentions(spark, sf_dir))
+
+
+_USERS = """e AS (SELECT event_id, user_id, event_type, CAST(weekofyear(ts) AS VARCHAR) AS chapter, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS u, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type FROM events),
+    seen AS (SELECT event_type AS name, user_id, chapter, min(u) AS s FROM e GROUP BY ALL),
+    j AS (SELECT e.*, a.s AS s1, b.s AS s2 FROM e LEFT JOIN seen a ON a.name = e.event_type AND a.user_id = e.user_id AND a.chapter = e.chapter LEFT JOIN seen b ON b.name = e.next_type AND b.user_id = e.user_id AND b.chapter = e.chapter WHERE next_type IS NOT NULL)"""
+
+
+@query(f"""WITH {_USERS} SELECT event_type AS source, next_type AS target, user_id AS book_number, chapter, count(*) AS n, min(event_id) AS first_unit, md5(event_type || '|' || next_type || '|' || user_id || '|' || chapter) AS id FROM j WHERE s1 <= u AND s2 <= u GROUP BY ALL""")
+def edge_grouping_asof(spark, sf_dir):
+    entities, edges = X.user_mentions(spark, sf_dir)
+    kept = graph.known_edges(edges, entities)
+    g = kept.groupBy("source", "target", "book_number", "chapter").agg(F.count("*").alias("n"), F.min("unit_id").alias("first_unit"))
+    return g.withColumn("id", T.relationship_id(F.col("source"), F.col("target"), F.col("book_number"), F.col("chapter")))
+
+
+@query(f"WITH {_USERS} SELECT event_id AS unit_id, event_type AS source, next_type AS target FROM j WHERE coalesce(s1 > u, true) OR coalesce(s2 > u, true)")
+def edge_rejected(spark, sf_dir):
+    entities, edges = X.user_mentions(spark, sf_dir)
+    return graph.rejected_edges(edges, entities).select("unit_id", "source", "target")
+
+
+@query(f"""WITH {_LINES} SELECT 'part:' || l_partkey AS source, 'supp:' || l_suppkey AS target, book_number, chapter, first(l_returnflag ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS type, first(1 + CAST(floor(l_quantity) AS INTEGER) % 10 ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) / 10.0::DOUBLE AS weight,
+    string_agg('qty ' || CAST(floor(l_quantity) AS INTEGER), ',' ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS descriptions_raw, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS text_unit_ids, md5('part:' || l_partkey || '|supp:' || l_suppkey || '|' || book_number || '|' || chapter) AS id FROM l GROUP BY l_partkey, l_suppkey, book_number, chapter""")
+def edge_grouping(spark, sf_dir):
+    g = graph.group_edges(graph.tied(X.edges(spark, sf_dir)))
+    return g.select("source", "target", "book_number", "chapter", "type", "weight", joined("descriptions_raw").alias("descriptions_raw"), joined(F.col("text_unit_ids").cast("array<string>")).alias("text_unit_ids"), "id")
+
+
+@query(f"""WITH {_MENTIONS} SELECT unit_id, string_agg(DISTINCT k, ',' ORDER BY k) AS keys FROM (SELECT unit_id, name || '|' || book_number || '|' || chapter AS k FROM m) GROUP BY unit_id""")
+def unit_backlinks(spark, sf_dir):
+    key = T.entity_key(F.col("name"), F.col("book_number"), F.col("chapter"))
+    return graph.unit_links(graph.group_entities(X.mentions(spark, sf_dir)), key).withColumn("keys", joined("keys"))
+
+
+@query("SELECT o_orderkey, md5(o_orderstatus || '|' || o_orderpriority) AS entity_id, o_orderstatus || '|' || year(o_orderdate) || '|' || o_orderpriority AS entity_key FROM orders")
+def entity_ids(spark, sf_dir):
+    return X.table(spark, sf_dir, "orders").select("o_orderkey", T.entity_id(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("entity_id"), T.entity_key(F.col("o_orderstatus"), F.year("o_orderdate"), F.col("o_orderpriority")).alias("entity_key"))
+
+
+# --- windows -----------------------------------------------------------------------------------------------------
+_UNITS = "u AS (SELECT o_orderkey AS unit_id, CAST(year(o_orderdate) - 1994 AS INTEGER) AS book_number, 'Q' || quarter(o_orderdate) AS chapter, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) - 1 AS chunk_index, count(*) OVER (PARTITION BY year(o_orderdate)) AS n FROM orders)"
+_WINDOWS = f"""{_UNITS}, links AS (SELECT DISTINCT l_orderkey AS unit_id, 'supp:' || l_suppkey AS entity, l_partkey AS part FROM lineitem WHERE l_returnflag = 'R'),
+    held AS (SELECT u.*, s AS start FROM u, LATERAL (SELECT unnest(range(0, n, 15)) AS s) WHERE chunk_index >= s AND chunk_index < s + 20),
+    bounds AS (SELECT book_number, start, min(chunk_index) AS range_start, max(chunk_index) AS range_end, min(chunk_index / greatest(n - 1, 1)) AS position_start, max(chunk_index / greatest(n - 1, 1)) AS position_end, count(*) AS n_units FROM held GROUP BY ALL),
+    members AS (SELECT DISTINCT book_number, start, entity FROM held JOIN links USING (unit_id)),
+    w AS (SELECT b.*, row_number() OVER (PARTITION BY book_number ORDER BY start) - 1 AS window_no, 'book' || book_number || '_window_' || window_no AS id FROM bounds b WHERE (book_number, start) IN (SELECT (book_number, start) FROM members))"""
+
+
+def _communities(spark, sf_dir):
+    links = X.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("unit_id"), F.concat(F.lit("supp:"), "l_suppkey").alias("entity")).distinct()
+    return windows.communities(X.units(spark, sf_dir), links)
+
+
+@query(f"""WITH {_WINDOWS} SELECT id, book_number, range_start, range_end, round(position_start, 6) AS position_start, round(position_end, 6) AS position_end, n_units, entities FROM w JOIN (SELECT book_number, start, string_agg(entity, ',' ORDER BY entity) AS entities FROM members GROUP BY ALL) USING (book_number, start)""")
+def sliding_windows(spark, sf_dir):
+    c = _communities(spark, sf_dir)
+    return c.select("id", "book_number", F.col("range_start").cast("long").alias("range_start"), F.col("range_end").cast("long").alias("range_end"), F.round("position_start", 6).alias("position_start"), F.round("position_end", 6).alias("position_end"), "n_units", joined("entities").alias("entities"))
+
+
+@query(f"""WITH {_WINDOWS}, f AS (SELECT 'supp:' || l_suppkey AS entity, min(l_orderkey) AS first_chunk FROM lineitem GROUP BY ALL), r AS (SELECT id, entity, first_chunk, CAST(row_number() OVER (PARTITION BY id ORDER BY first_chunk, entity) AS INTEGER) AS rank FROM w JOIN members USING (book_number, start) JOIN f USING (entity)) SELECT * FROM r WHERE rank <= 50""")
+def window_details_top50(spark, sf_dir):
+    first = X.table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("supp:"), "l_suppkey").alias("entity")).agg(F.min("l_orderkey").alias("first_chunk"))
+    return windows.details(_communities(spark, sf_dir).select("id", F.explode("entities").alias("entity")), first).select("id", "entity", "first_chunk", "rank")
+
+
+_KEYS = "k AS (SELECT 'supp:' || s_suppkey AS entity FROM supplier WHERE s_suppkey <= 10)"
+
+
+def _keys(spark, sf_dir):
+    return X.table(spark, sf_dir, "supplier").where("s_suppkey <= 10").select(F.concat(F.lit("supp:"), "s_suppkey").alias("entity"))
+
+
+@query(f"""WITH {_WINDOWS}, {_KEYS} SELECT id, book_number, CAST(window_no AS INTEGER) AS "window", count(*) AS overlap FROM w JOIN members USING (book_number, start) JOIN k USING (entity) WHERE book_number IN (1, 2, 3) GROUP BY ALL ORDER BY overlap DESC, book_number, "window" LIMIT 5""")
+def community_overlap_topk(spark, sf_dir):
+    return retrieve.overlap_top_k(_communities(spark, sf_dir), _keys(spark, sf_dir), 5, [1, 2, 3])
+
+
+@query(f"""WITH {_WINDOWS} SELECT a.id, b.id AS other, a.book_number FROM w a JOIN w b ON a.book_number = b.book_number AND a.range_start <= b.range_end AND b.range_start <= a.range_end AND a.id < b.id""")
+def community_interval_overlap(spark, sf_dir):
+    c = _communities(spark, sf_dir)
+    return windows.overlapping(c, c)
+
+
+@query(f"WITH {_WINDOWS} SELECT id FROM w WHERE 17 BETWEEN range_start AND range_end")
+def community_contains_chunk(spark, sf_dir):
+    return _communities(spark, sf_dir).where(windows.contains(17)).select("id")
+
+
+@query(f"""WITH {_WINDOWS} SELECT book_number, chapter, min(range_start) AS range_start, max(range_end) AS range_end, count(DISTINCT start) AS n_windows, string_agg(DISTINCT entity, ',' ORDER BY entity) AS entities
+    FROM (SELECT w.book_number, w.start, w.range_start, w.range_end, (SELECT any_value(u.chapter) FROM u WHERE u.book_number = w.book_number AND u.chunk_index = w.range_start) AS chapter FROM w) JOIN members USING (book_number, start) GROUP BY book_number, chapter""")
+def chapter_rollup(spark, sf_dir):
+    heads = X.units(spark, sf_dir).select("book_number", F.col("chunk_index").alias("range_start"), "chapter")
+    rolled = windows.chapters(_communities(spark, sf_dir).join(heads, ["book_number", "range_start"]))
+    return rolled.withColumn("entities", joined("entities")).withColumn("range_start", F.col("range_start").cast("long")).withColumn("range_end", F.col("range_end").cast("long"))
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------
+_EDGES = f"{_LINES}, ed AS (SELECT md5('part:' || l_partkey || '|supp:' || l_suppkey || '|' || book_number || '|' || chapter) AS id, 'part:' || l_partkey AS source_key, 'supp:' || l_suppkey AS target_key, min(l_orderkey) AS position FROM l GROUP BY l_partkey, l_suppkey, book_number, chapter)"
+_BOTH = "k AS (SELECT 'supp:' || s_suppkey AS entity FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT 'part:' || p_partkey FROM part WHERE p_partkey <= 20)"
+
+
+def _edges(spark, sf_dir):
+    e = X.edges(spark, sf_dir).groupBy("source", "target", "book_number", "chapter").agg(F.min("unit_id").alias("position"))
+    return e.select(T.relationship_id(F.col("source"), F.col("target"), F.col("book_number"), F.col("chapter")).alias("id"), F.col("source").alias("source_key"), F.col("target").alias("target_key"), "position")
+
+
+def _both(spark, sf_dir):
+    parts = X.table(spark, sf_dir, "part").where("p_partkey <= 20").select(F.concat(F.lit("part:"), "p_partkey").alias("entity"))
+    return X.table(spark, sf_dir, "supplier").where("s_suppkey <= 3").select(F.concat(F.lit("supp:"), "s_suppkey").alias("entity")).unionByName(parts)
+
+
+@query(f"WITH {_EDGES}, {_BOTH} SELECT id, source_key, target_key, position FROM ed WHERE source_key IN (SELECT entity FROM k) OR target_key IN (SELECT entity FROM k)")
+def touching_edges(spark, sf_dir):
+    return retrieve.touching(_edges(spark, sf_dir), _both(spark, sf_dir))
+
+
+@query(f"""WITH {_EDGES}, {_BOTH}, o AS (SELECT k.entity, ed.id, source_key IN (SELECT entity FROM k) AND target_key IN (SELECT entity FROM k) AS in_net, position FROM ed JOIN k ON k.entity IN (source_key, target_key)),
+    r AS (SELECT entity, id, in_net, CAST(row_number() OVER (PARTITION BY entity ORDER BY in_net DESC, position, id) AS INTEGER) AS rank FROM o) SELECT * FROM r WHERE rank <= 10""")
+def edges_in_out_network(spark, sf_dir):
+    owned = retrieve.edges_of(_edges(spark, sf_dir), _both(spark, sf_dir))
+    return owned.withColumn("rank", F.row_number().over(retrieve.edge_order())).where("rank <= 10").select("entity", "id", "in_net", "rank")
+
+
+@query("""WITH e AS (SELECT l_suppkey, l_orderkey AS unit_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem WHERE l_suppkey <= 10),
+    c AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY l_suppkey, pos) AS n FROM e) SELECT 'supp:' || l_suppkey AS entity, l_suppkey AS entity_idx, CAST(pos AS INTEGER) AS pos, unit_id FROM c WHERE n = 1""")
+def unit_first_claim(spark, sf_dir):
+    listed = X.table(spark, sf_dir, "lineitem").where("l_suppkey <= 10").groupBy("l_suppkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_orderkey"]).alias("text_unit_ids"))
+    return retrieve.first_claims(listed.select(F.concat(F.lit("supp:"), "l_suppkey").alias("entity"), F.col("l_suppkey").alias("entity_idx"), "text_unit_ids")).select("entity", "entity_idx", "pos", "unit_id")
+
+
+@query("""SELECT source, doc_id, tokens, running FROM (SELECT source, doc_id, CAST(length(text) // 4 AS INTEGER) AS tokens, CAST(sum(length(text) // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) + 20 AS BIGINT) AS running FROM documents) WHERE running <= 6617""")
+def prefix_budget(spark, sf_dir):
+    docs = retrieve.with_tokens(X.table(spark, sf_dir, "documents").select("source", "doc_id", "text")).drop("text")
+    return retrieve.prefix_budget(docs, 6617, ["source"], ["doc_id"], header=20)
+
+
+@query()
+def stateful_budget(spark, sf_dir):
+    line = X.table(spark, sf_dir, "lineitem")
+    one = line.groupBy("l_suppkey", "l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))), lambda x: x["q"]).alias("edges"))
+    items = one.groupBy(F.col("l_suppkey").alias("query_id")).agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("l_orderkey", "edges"))), 1, 10), lambda x: F.struct((x["l_orderkey"] % 50).cast("int").alias("cost"), F.lit(3).alias("header"), x["edges"].alias("edges"))).alias("items"))
+    return retrieve.stateful_budget(items, 300).select("query_id", "total", joined(F.col("taken").cast("array<string>")).alias("taken"))
+
+
+@query(f"""WITH {_UNITS} SELECT unit_id, book_number, CAST(row_number() OVER (ORDER BY p, score DESC, unit_id) AS INTEGER) AS place FROM (SELECT unit_id, book_number, chunk_index / greatest(n - 1, 1) AS p, 1 / (1 + CAST(unit_id % 7 AS DOUBLE)) AS score FROM u WHERE unit_id % 10 = 0 ORDER BY score DESC, unit_id LIMIT 200)""")
+def chronological_sources(spark, sf_dir):
+    scored = X.units(spark, sf_dir).where("unit_id % 10 = 0").withColumn("score", 1 / (1 + F.col("unit_id") % 7)).orderBy(F.desc("score"), "unit_id").limit(200)
+    return scored.withColumn("place", F.row_number().over(Window.orderBy("relative_position", F.desc("score"), "unit_id"))).select("unit_id", "book_number", "place")
+
+
+@query("""SELECT source, string_agg(line, chr(10) ORDER BY doc_id) AS context FROM (SELECT source, doc_id, '[' || doc_id || '] ' || CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS line, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5 GROUP BY source""")
+def context_string(spark, sf_dir):
+    docs = X.table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("["), "doc_id", F.lit("] "), T.preview(F.col("text"), 200)).alias("line"))
+    first = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 5")
+    return first.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n").alias("context"))
+
+
+# --- recovery, statistics, events --------------------------------------------------------------------------------
+@query("SELECT count(*) AS total, count(embedding) AS with_embeddings, max(len(embedding)) AS embedding_dim, count(*) FILTER (label = 0) AS label_0 FROM embeddings")
+def index_stats(spark, sf_dir):
+    has = F.size("embedding") > 0
+    return X.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("total"), F.count_if(has).alias("with_embeddings"), F.max(F.size("embedding")).cast("long").alias("embedding_dim"), F.count_if(F.col("label") == 0).alias("label_0"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti_join(spark, sf_dir):
+    return unprocessed(X.table(spark, sf_dir, "documents").select("doc_id"), X.table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    counted = windowed_counts(X.table(spark, sf_dir, "events"))
+    return counted.select(F.col("window.start").alias("hour"), "event_type", "n", F.round("value", 4).alias("value"))

@@ -13,6 +13,7 @@ import base64
 import hashlib
 import heapq
 import re
+import struct
 from functools import cache
 
 import numpy as np
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from chronokg.llm.common import arrow_batches, as_bytes, fresh
 
-KEPT = 150_000
+KEPT = 350_000
+_MASK = (1 << 64) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: A part that starts or ends with white space, or is empty, can't be cut off at its spaces.
 _OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -67,6 +69,7 @@ class PerfectHash:
                     self.shift[b], free[slots[at]], owner[slots[at]] = tries[at], False, own
                     break
                 first += 256
+        self._shift = self.shift.tolist()
         self.keys = [keys[i] for i in owner.tolist()]
         self.values = [values[i] for i in owner.tolist()]
 
@@ -74,36 +77,38 @@ class PerfectHash:
         mixed = (h ^ (shift * _M1 + _M2)) * _M2
         return ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(max(1, self.n))).astype(np.int64)
 
+    def get(self, key: bytes) -> int:
+        """The key's value, or -1; as find() for one key, in plain numbers."""
+        if not self.n:
+            return -1
+        h = xxhash.xxh64_intdigest(key)
+        mixed = ((h ^ (self._shift[h % self.buckets] * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F & _MASK)) * 0xC2B2AE3D27D4EB4F) & _MASK
+        slot = (mixed ^ (mixed >> 29)) % self.n
+        return self.values[slot] if self.keys[slot] == key else -1
+
     def find(self, keys: list[bytes]) -> list[int]:
-        """Each key's value, or -1."""
-        if not self.n or not keys:
-            return [-1] * len(keys)
-        with np.errstate(over="ignore"):
-            h = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
-            slots = self._slots(h, self.shift[h % np.uint64(self.buckets)]).tolist()
-        held, values = self.keys, self.values
-        return [values[s] if held[s] == k else -1 for s, k in zip(slots, keys)]
+        return [self.get(k) for k in keys]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a pre-token: the pair of least rank first, the leftmost of equals, from a heap; neighbours are links."""
-    n = len(piece)
-    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    n, rank_of, pop, push = len(piece), ranks.get, heapq.heappop, heapq.heappush
+    after, before, end = list(range(1, n + 1)), list(range(-1, n)), list(range(1, n + 1))
+    heap = []
+    for i in range(n - 1):
+        if (r := rank_of(piece[i : i + 2])) is not None:
+            heap.append((r, i, i + 2))
     heapq.heapify(heap)
-    alive = bytearray(b"\1") * n
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        if not alive[i] or (j := after[i]) >= n or end[j] != stop:
+        _, i, stop = pop(heap)
+        if not end[i] or (j := after[i]) >= n or end[j] != stop:
             continue  # a side of this pair has been merged since
-        alive[j] = 0
-        end[i], after[i] = stop, (k := after[j])
-        if k < n:
-            before[k] = i
-            if (r := ranks.get(piece[i : end[k]])) is not None:
-                heapq.heappush(heap, (r, i, end[k]))
-        if (p := before[i]) >= 0 and (r := ranks.get(piece[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, stop))
+        end[j], end[i], after[i] = 0, stop, (k := after[j])
+        before[k] = i
+        if k < n and (r := rank_of(piece[i : end[k]])) is not None:
+            push(heap, (r, i, end[k]))
+        if (p := before[i]) >= 0 and (r := rank_of(piece[p:stop])) is not None:
+            push(heap, (r, p, stop))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -150,24 +155,40 @@ class Chunks(dict):
         return b"".join(out)
 
 
+class Pieces(dict):
+    """Pre-token → packed ids, by the two tiers; two generations bound it."""
+
+    def __init__(self, ranks: dict[bytes, int], kept: int = KEPT):
+        super().__init__()
+        self.ranks, self.kept, self.old = ranks, kept, {}
+        self.whole = PerfectHash(list(ranks), list(ranks.values()))
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            body = piece.encode()
+            rank = self.whole.get(body)
+            ids = [rank] if rank >= 0 else merge(body, self.ranks)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) < 100:
+            if len(self) >= self.kept:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder of one vocabulary and pattern, with little-endian unsigned 32-bit ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.whole = PerfectHash(list(ranks), list(ranks.values()))
+        self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.found = Pieces(ranks)
         self.chunks = Chunks(self.pieces)
 
     def pieces(self, chunk: str) -> bytes:
-        pieces = [p.encode() for p in self.pattern.findall(chunk)]
-        ids: list[int] = []
-        for piece, rank in zip(pieces, self.whole.find(pieces)):
-            if rank >= 0:
-                ids.append(rank)
-            else:
-                ids += merge(piece, self.ranks)
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.found.__getitem__, self.pattern.findall(chunk)))
 
     def encode(self, text: str) -> bytes:
         return self.chunks.text(text) if text else b""

@@ -156,19 +156,16 @@ class Chunks(dict):
 
 
 class Pieces(dict):
-    """Pre-token → packed ids, by the two tiers; two generations bound it."""
+    """Pre-token → packed ids by ``encode``; two generations bound it."""
 
-    def __init__(self, ranks: dict[bytes, int], kept: int = KEPT):
+    def __init__(self, encode, kept: int = KEPT):
         super().__init__()
-        self.ranks, self.kept, self.old = ranks, kept, {}
-        self.whole = PerfectHash(list(ranks), list(ranks.values()))
+        self.encode, self.kept, self.old = encode, kept, {}
 
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
-            body = piece.encode()
-            rank = self.whole.get(body)
-            ids = [rank] if rank >= 0 else merge(body, self.ranks)
+            ids = self.encode(piece)
             found = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) < 100:
             if len(self) >= self.kept:
@@ -178,17 +175,24 @@ class Pieces(dict):
         return found
 
 
+def chunks_by(pattern: str, encode) -> Chunks:
+    """Chunks whose pre-tokens by ``pattern`` go through ``encode(piece) -> ids``."""
+    find, found = regex.compile(pattern).findall, Pieces(encode)
+    return Chunks(lambda chunk: b"".join(map(found.__getitem__, find(chunk))))
+
+
 class Codec:
     """Encoder and decoder of one vocabulary and pattern, with little-endian unsigned 32-bit ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.found = Pieces(ranks)
-        self.chunks = Chunks(self.pieces)
+        whole = PerfectHash(list(ranks), list(ranks.values()))
+
+        def two_tiers(piece: str) -> list[int]:
+            body = piece.encode()
+            return [rank] if (rank := whole.get(body)) >= 0 else merge(body, ranks)
 
-    def pieces(self, chunk: str) -> bytes:
-        return b"".join(map(self.found.__getitem__, self.pattern.findall(chunk)))
+        self.chunks = chunks_by(pattern, two_tiers)
 
     def encode(self, text: str) -> bytes:
         return self.chunks.text(text) if text else b""

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokg.llm.bpe import Chunks
+from chronokg.llm.bpe import chunks_by
 from chronokg.llm.common import arrow_batches, as_bytes, checkpoint_dir
 
 MAGIC, BLOCK = b"CKIDS1", 65_536
@@ -118,17 +118,25 @@ def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if urlparse(uri).scheme else f"file://{os.path.abspath(uri)}")
 
 
+def _alphabet() -> dict[int, str]:
+    """Byte → the character that stands for it in a byte-level vocabulary: itself if it is printable, else the next one from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 @cache
-def _library(path: str):
+def _library(path: str, pattern: str):
+    """The tokenizers library's model of a byte-level vocabulary, over pre-tokens; their strings in a text make special tokens ordinary text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True  # their strings in a text are then ordinary text
-    return own, Chunks(lambda chunk: np.array(own.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+    own, alphabet = Tokenizer.from_file(path), _alphabet()
+    tokenize = own.model.tokenize
+    return own, chunks_by(pattern, lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))])
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int, out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int, out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and write every document in ascending id order; the manifest (file, n_docs, n_ids, start) in file order.
 
     The table is range-partitioned by id, a file to a partition, named by its
@@ -139,7 +147,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, out: str, doc_id: str = "
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    vocabulary = _library(path)[0].get_vocab_size(with_added_tokens=True)
+    vocabulary = _library(path, pattern)[0].get_vocab_size(with_added_tokens=True)
     width = width_for(max(vocabulary, end_id + 1))
     _file_system(out)[0].create_dir(_file_system(out)[1], recursive=True)
     ordered = (
@@ -149,7 +157,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, out: str, doc_id: str = "
 
     def run(batches):
         system, folder = _file_system(out)
-        chunks, end = _library(path)[1], np.array([end_id], np.uint32)
+        chunks, end = _library(path, pattern)[1], np.array([end_id], np.uint32)
         place = TaskContext.get().partitionId()
         name, draft, writer, ids, stream = f"part-{place:06d}.ids", f"{folder}/.{uuid.uuid4().hex}", None, [], None
         for batch in batches:

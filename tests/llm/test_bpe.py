@@ -56,6 +56,8 @@ def test_kept_chunks_are_bounded():
     for i in range(1000):
         assert chunks.text(f"a b{i} c") == f"a b{i} c".encode()
     assert len(chunks) <= 10 and len(chunks.old) <= 10
+    pieces = bpe.Pieces(lambda p: list(p.encode()), kept=10)
+    assert all(pieces[str(i)] == np.array(list(str(i).encode()), "<u4").tobytes() for i in range(100)) and len(pieces) <= 10
 
 
 @pytest.mark.parametrize("width", [1, 7, 11, 16, 17, 31])
@@ -93,9 +95,9 @@ def test_ids_query_against_the_library(spark, sf):
 
 def test_ids_of_odd_texts(spark, odd, empty):
     out = packed_ids.new_folder(spark)
-    found = packed_ids.read_ids(packed_ids.write_ids(odd, P.path("byte_bpe_50k.json"), 2, out), out, ids=True)
+    found = packed_ids.read_ids(packed_ids.write_ids(odd, P.path("byte_bpe_50k.json"), P.PATTERN, 2, out), out, ids=True)
     rows = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0], (r[1] or "").encode()))
     assert sorted((tuple(r)[:4] for r in found.collect()), key=lambda r: r[1]) == list(expected(rows))
     assert all(r.ids[-1] == 2 and len(r.ids) == r.n_tokens for r in found.collect())
     out = packed_ids.new_folder(spark)
-    assert packed_ids.read_ids(packed_ids.write_ids(empty, P.path("byte_bpe_50k.json"), 2, out), out).count() == 0
+    assert packed_ids.read_ids(packed_ids.write_ids(empty, P.path("byte_bpe_50k.json"), P.PATTERN, 2, out), out).count() == 0

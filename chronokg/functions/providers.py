@@ -90,7 +90,7 @@ def _each(items: list, call: Callable, tries: int) -> list[tuple[object, str | N
 
 def generated(df: DataFrame, prompt: str, make: Callable[[], Provider] = Offline, out: str = "reply", tries: int = 5, tasks: int | None = None) -> DataFrame:
     """``df`` with a reply and an ``<out>_error`` column; at most ``tasks`` calls at a time."""
-    schema = df.withColumn(out, F.lit("")).withColumn(f"{out}_error", F.lit("")).schema
+    schema = df.withColumn(out, F.lit(None).cast("string")).withColumn(f"{out}_error", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = make()
@@ -104,7 +104,7 @@ def generated(df: DataFrame, prompt: str, make: Callable[[], Provider] = Offline
 def embedded(df: DataFrame, text: str, make: Callable[[], Provider] = Offline, out: str = "embedding", most_tokens: int = 509, tries: int = 5, tasks: int | None = None) -> DataFrame:
     """``df`` with the embedding of a text, null if that fails; a text over ``most_tokens`` is the mean of its pieces."""
     kept = df.drop(out)
-    schema = kept.withColumn(out, F.array().cast("array<float>")).schema
+    schema = kept.withColumn(out, F.lit(None).cast("array<float>")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, step = make(), most_tokens * 4

@@ -22,7 +22,7 @@ def brute_components(rows):
 
     def root(i):
         while part[i] != i:
-            i = part[i] = part[part[i]]
+            part[i] = i = part[part[i]]
         return i
 
     for i in range(len(rows)):

@@ -69,3 +69,18 @@ def test_pairs_that_no_end_of_a_key_joins(spark, monkeypatch):
     found = {r.node: r.component for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     nodes = [jaccard.node(jaccard.shingles(t.encode(), 5)) for _, t in rows]
     assert all(found[a] == found[b] for a, b in zip(nodes[::2], nodes[1::2])) and len(set(found.values())) == 30
+
+
+def test_null_and_repeated_ids_each_keep_their_group(spark, sf):
+    texts = [f"{w} is a text of its own with the word {w} in it" for w in ("alpha", "beta", "gamma", "delta")]
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0]), (7, texts[3]), (7, texts[1] + " and more words that make it a different one"), (9, texts[3])]
+    found = kept(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert found == brute_kept(rows) and len(found) == 5
+
+
+def test_odd_rows(spark, sf, odd, empty):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    found = corpus_pipeline.keep_one_of_each(spark, odd, sf)
+    assert found.columns == odd.columns
+    assert kept(spark, odd, sf) == brute_kept(rows)
+    assert kept(spark, empty, sf) == []

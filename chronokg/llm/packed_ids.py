@@ -127,7 +127,7 @@ def _alphabet() -> dict[int, str]:
 
 @cache
 def _library(path: str, pattern: str):
-    """The tokenizers library's model of a byte-level vocabulary, over pre-tokens; their strings in a text make special tokens ordinary text."""
+    """The tokenizers library's model of a byte-level vocabulary, and its ids of pre-tokens, where strings of added tokens are ordinary text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -136,14 +136,26 @@ def _library(path: str, pattern: str):
     return own, chunks_by(pattern, lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))])
 
 
-def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int, out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _encoder(path: str, pattern: str, added: bool):
+    """text -> little-endian unsigned 32-bit ids; with ``added`` a text that holds an added token goes through the library as a whole."""
+    own, chunks = _library(path, pattern)
+    if not added:
+        return chunks.text
+    strings = [t.content for t in own.get_added_tokens_decoder().values()]
+    whole = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    return lambda text: whole(text) if any(t in text for t in strings) else chunks.text(text)
+
+
+def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int, out: str, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """Encode and write every document in ascending id order; the manifest (file, n_docs, n_ids, start) in file order.
 
     The table is range-partitioned by id, a file to a partition, named by its
     place; a retried task writes under a name of its own and renames it, so a
     lost executor leaves no half file. Only a row for each file reaches the
     driver. Rows of equal id follow by text; a null id comes first; a null text
-    is empty and so has the end id alone; an empty table writes nothing.
+    is empty and so has the end id alone; an empty table writes nothing. With
+    ``added`` strings of the vocabulary's added tokens have their ids, as by the
+    library's default settings; else they are ordinary text.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -157,7 +169,7 @@ def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int, out: str, d
 
     def run(batches):
         system, folder = _file_system(out)
-        chunks, end = _library(path, pattern)[1], np.array([end_id], np.uint32)
+        encode, end = _encoder(path, pattern, added), np.array([end_id], np.uint32)
         place = TaskContext.get().partitionId()
         name, draft, writer, ids, stream = f"part-{place:06d}.ids", f"{folder}/.{uuid.uuid4().hex}", None, [], None
         for batch in batches:
@@ -165,7 +177,7 @@ def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int, out: str, d
                 stream = system.open_output_stream(draft)
                 writer = Writer(stream, width)
             for body in batch.column(1).to_pylist():
-                own = np.frombuffer(chunks.text(body.decode("utf-8", "replace")) if body else b"", "<u4")
+                own = np.frombuffer(encode(body.decode("utf-8", "replace")) if body else b"", "<u4")
                 writer.add(np.concatenate([own, end]))
             ids.append(batch.column(0))
         if writer is not None:

@@ -37,7 +37,7 @@ def op5_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = packed_ids.new_folder(spark)
-    manifest = packed_ids.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2, out)
+    manifest = packed_ids.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2, out, added=True)
     return packed_ids.read_ids(manifest, out)
 
 

@@ -101,3 +101,16 @@ def test_ids_of_odd_texts(spark, odd, empty):
     assert all(r.ids[-1] == 2 and len(r.ids) == r.n_tokens for r in found.collect())
     out = packed_ids.new_folder(spark)
     assert packed_ids.read_ids(packed_ids.write_ids(empty, P.path("byte_bpe_50k.json"), P.PATTERN, 2, out), out).count() == 0
+
+
+def test_query_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    own, texts = Tokenizer.from_file(P.path("byte_bpe_50k.json")), ["<|endoftext|> is text", "a  <|endoftext|><|endoftext|>\n b", "<|endoftext", "plain", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start, want = 0, []
+    for k, text in enumerate(texts):
+        ids = [*own.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, QUERIES["op5_packed_token_ids"](spark, str(tmp_path)).collect())) == want

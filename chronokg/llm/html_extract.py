@@ -48,25 +48,29 @@ _WORD = re.compile(r"[^\W\d_]+")
 _P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript template noframes".split())
+_ROOT = ("", False, False, False, False)
+
 SHORT, LINKS, STOPS_LOW, STOPS_HIGH = 70, 0.33, 0.1, 0.25
 GOOD, BAD, OPEN = 1, -1, 0
 
 
 class Block:
-    __slots__ = ("text", "linked", "outside", "inside", "heading")
+    __slots__ = ("text", "linked", "outside", "inside", "heading", "wrapped", "item")
 
-    def __init__(self, text, linked, outside, inside, heading):
-        self.text, self.linked, self.outside, self.inside, self.heading = text, linked, outside, inside, heading
+    def __init__(self, text, linked, outside, inside, heading, wrapped=False, item=False):
+        self.text, self.linked, self.outside, self.inside, self.heading, self.wrapped, self.item = text, linked, outside, inside, heading, wrapped, item
 
 
-def _hinted(attributes: str) -> tuple[bool, bool, bool]:
-    """Of a tag's attributes: marks a part that isn't the article; marks the article; hidden."""
+def _hinted(attributes: str, named: bool = False) -> tuple[bool, bool, bool]:
+    """Of a tag's attributes: marks a part that isn't the article; marks the article; hidden. With ``named`` an id counts only if it is all hints."""
     outside = main = hidden = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role", "aria-label", "itemtype"):
             words = set(_PARTS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
-            outside |= bool(words & HINTS)
+            outside |= bool(words & HINTS) and not (named and name == "id" and words - HINTS - {""})
             main |= name == "role" and value.lower() in ("main", "article")
         elif name == "style":
             hidden |= "display:none" in (flat := re.sub(r"\s", "", value.lower())) or "visibility:hidden" in flat
@@ -77,7 +81,7 @@ def _hinted(attributes: str) -> tuple[bool, bool, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, without empty ones."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, silent, outside, inside an article
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, silent, outside, inside an article, only by hints around the article outside
     text: list[str] = []
     links: list[str] = []
     depth = {"a": 0}
@@ -86,9 +90,9 @@ def blocks(page: str) -> list[Block]:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                _, _, outside, inside = stack[-1] if stack else ("", False, False, False)
+                _, _, outside, inside, wrapped = stack[-1] if stack else _ROOT
                 linked = len(" ".join(entities.unescape(" ".join(links)).split()))
-                out.append(Block(whole, min(1.0, linked / len(whole)), outside, inside, heading))
+                out.append(Block(whole, min(1.0, linked / len(whole)), outside, inside, heading, wrapped, any(t[0] == "li" for t in stack)))
             text.clear()
             links.clear()
 
@@ -105,6 +109,8 @@ def blocks(page: str) -> list[Block]:
     while at < n:
         m = _TAG.search(page, at)
         part = page[at : m.start() if m else n]
+        if stack and stack[-1][0] == "head" and part.strip():
+            close(len(stack) - 1)
         if part and not (stack and stack[-1][1]):
             text.append(part)
             if depth["a"]:
@@ -119,6 +125,8 @@ def blocks(page: str) -> list[Block]:
             text.append(" ")
             continue
         if not ends:
+            if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
+                close(len(stack) - 1)
             if tag in BLOCKS:
                 flush(heading())
                 if tag in _P_ENDS:
@@ -131,14 +139,18 @@ def blocks(page: str) -> list[Block]:
                         close(near)
             if tag in VOID or m[3].endswith("/"):
                 continue
-            _, silent, outside, inside = stack[-1] if stack else ("", False, False, False)
-            hinted, main, hidden = _hinted(m[3]) if m[3] and not m[3].isspace() else (False, False, False)
+            _, silent, outside, inside, wrapped = stack[-1] if stack else _ROOT
+            hinted, main, hidden = _hinted(m[3], inside and tag == "section") if m[3] and not m[3].isspace() else (False, False, False)
             silent |= tag in SILENT or hidden
             starts = tag in ("article", "main") or main
-            if tag in ("article", "main", "body", "html"):
-                hinted = False  # a theme's classes on these say nothing
+            if tag in ("article", "main", "body", "html") or inside and tag in _HEADINGS:
+                hinted = False  # a theme's classes on these say nothing, nor do anchors of headings
+            if starts and not inside and wrapped:
+                outside = False  # whether the hints around it count is settled once the page is read
+            elif not inside:
+                wrapped = wrapped and outside or hinted and not outside and tag not in OUTSIDE and tag != "header"
             outside |= tag in OUTSIDE or hinted or tag == "header" and not inside or tag == "article" and inside and any(t[0] == "article" for t in stack)
-            stack.append((tag, silent, outside, inside or starts))
+            stack.append((tag, silent, outside, inside or starts, wrapped and not (tag in OUTSIDE or tag == "header" and not inside)))
             if tag == "a":
                 depth["a"] += 1
             if tag in ("script", "style", "textarea", "noscript", "iframe", "noframes", "noembed", "title", "template", "svg"):
@@ -167,11 +179,11 @@ def stop_share(text: str) -> float:
 def first_pass(block: Block, marked: bool) -> int:
     if block.outside or marked and not block.inside:
         return BAD
+    if marked:
+        return GOOD
     n, stops = len(block.text), stop_share(block.text)
     if block.linked > LINKS and (n < 2 * SHORT or stops < STOPS_HIGH or block.linked > 0.8):
         return BAD
-    if marked:
-        return OPEN if n < SHORT and block.linked > 0 else GOOD
     if n < SHORT:
         return OPEN
     if stops >= STOPS_HIGH:
@@ -202,8 +214,17 @@ def second_pass(labels: list[int], found: list[Block]) -> list[bool]:
 def main_text(page: str) -> str:
     """The kept blocks' texts, one to a line."""
     found = blocks(page)
+    if any(b.inside and not b.outside and not b.wrapped for b in found):
+        for b in found:
+            b.outside |= b.wrapped
     marked = any(b.inside and not b.outside for b in found)
-    kept = second_pass([first_pass(b, marked) for b in found], found)
+    labels = [first_pass(b, marked) for b in found]
+    if marked:
+        listed = [b.item and b.linked > 0.8 for b in found]
+        for i, own in enumerate(listed):
+            if own and (i and listed[i - 1] or listed[i + 1 : i + 2] == [True]):
+                labels[i] = BAD  # a list of links
+    kept = second_pass(labels, found)
     return "\n".join(b.text for b, keep in zip(found, kept) if keep)
 
 

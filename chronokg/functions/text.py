@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 #: Fixed value: a sentence ends at one of these marks before white space and one of these starts.
 SENTENCE_GAP = r"(?<=[.!?…])\s+(?=[А-ЯA-Z«\-\d])"
 
-#: Ordered rules of words in a question that point to books; the first that fits wins.
+#: Ordered rules over a question in lower case and the books that they point to; the first that fits wins.
 HINTS = (
-    (r"перв\w+ (?:книг|том)|\b1[- ]?(?:я|й)? (?:книг|том)|book 1\b|first book", [1]), (r"втор\w+ (?:книг|том)|\b2[- ]?(?:я|й)? (?:книг|том)|book 2\b|second book", [2]),
-    (r"треть\w+ (?:книг|том)|\b3[- ]?(?:я|й)? (?:книг|том)|book 3\b|third book", [3]), (r"четв[её]рт\w+ (?:книг|том)|\b4[- ]?(?:я|й)? (?:книг|том)|book 4\b|fourth book", [4]),
-    (r"пят\w+ (?:книг|том)|\b5[- ]?(?:я|й)? (?:книг|том)|book 5\b|fifth book", [5]), (r"шест\w+ (?:книг|том)|\b6[- ]?(?:я|й)? (?:книг|том)|book 6\b|sixth book", [6]),
-    (r"седьм\w+ (?:книг|том)|\b7[- ]?(?:я|й)? (?:книг|том)|book 7\b|seventh book", [7]), (r"в начале|начал\w+ (?:истории|серии)|beginning", [1, 2]),
-    (r"в конце|финал\w*|конец (?:истории|серии)|\bend of\b", [6, 7]), (r"на протяжении|вся серия|всей серии|эволюци\w+|whole series|throughout", [1, 2, 3, 4, 5, 6, 7]),
+    ("в первой книге|философский камень|первая книга", [1]),
+    ("во второй книге|тайная комната|вторая книга", [2]),
+    ("в третьей книге|узник азкабана|третья книга", [3]),
+    ("в четвертой книге|кубок огня|четвертая книга", [4]),
+    ("в пятой книге|орден феникса|пятая книга", [5]),
+    ("в шестой книге|принц-полукровка|шестая книга", [6]),
+    ("в седьмой книге|дары смерти|седьмая книга", [7]),
+    ("в начале|сначала|впервые", [1, 2]),
+    ("в конце|финал|последн", [6, 7]),
+    ("как изменился|эволюция|развитие|на протяжении", [1, 2, 3, 4, 5, 6, 7]),
 )
 
 
@@ -29,9 +38,20 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
 
 
-def tokens(text: Column) -> Column:
+def quarter(text: str) -> int:
     """The offline token count: a quarter of the characters."""
-    return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4).cast("int")
+    return len(text) // 4
+
+
+def tokens(text: Column, count: Callable[[str], int] | None = None) -> Column:
+    """Tokens of a text by ``count``, a tokenizer's function, or by the offline count, which stays in the JVM. Null has none."""
+    if count in (None, quarter):
+        return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4).cast("int")
+
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([count(v or "") for v in x.to_pylist()], pa.int32())
+
+    return arrow_udf(run, "int")(text)
 
 
 def book_number(filename: Column) -> Column:
@@ -92,6 +112,11 @@ def source_ids(context: Column) -> Column:
     return F.regexp_extract_all(context, F.lit(r"book\d+_chunk_\d+"), F.lit(0))
 
 
+def truncated(text: Column, most: int) -> Column:
+    """The first ``most`` characters, without a mark."""
+    return F.substring(text, 1, most)
+
+
 def token_pieces(text: Column, most: int) -> Column:
     """The text in pieces of at most ``most`` tokens by the offline count; an empty text is one piece."""
     n, step = F.length(text), most * 4
@@ -102,7 +127,7 @@ def book_hints(question: Column) -> Column:
     """Books that a question points to, or null."""
     low, out = F.lower(question), None
     for pattern, books in HINTS:
-        found, value = low.rlike(f"(?U){pattern}"), F.array(*map(F.lit, books))
+        found, value = low.rlike(pattern), F.array(*map(F.lit, books))
         out = F.when(found, value) if out is None else out.when(found, value)
     return out
 

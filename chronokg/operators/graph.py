@@ -26,8 +26,14 @@ def merged_description(raw):
     return F.when(F.size(raw) > 0, F.array_join(F.array_distinct(raw), " | ")).otherwise(NO_DESCRIPTION)
 
 
-def _in_order(value, place: str = "ord"):
-    return F.transform(F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct(F.col(place).alias("o"), value.alias("v"))))), lambda x: x["v"])
+def _listed(*values):
+    """All values of a group's rows in the rows' order, gathered once."""
+    return F.sort_array(F.collect_list(F.struct(F.col("ord").alias("o"), *[v.alias(f"v{i}") for i, v in enumerate(values)])))
+
+
+def _of(rows: str, i: int):
+    """The i-th value of gathered rows, without nulls."""
+    return F.array_compact(F.transform(rows, lambda x: x[f"v{i}"]))
 
 
 def _text(column: str):
@@ -39,10 +45,9 @@ def group_entities(mentions: DataFrame) -> DataFrame:
 
     ``ord`` is the mention's place in the whole scan and must be unique in a key.
     """
-    grouped = named(mentions).groupBy(*KEY).agg(
-        F.coalesce(F.min_by("type", "ord"), F.lit(UNKNOWN)).alias("type"), _in_order(_text("description")).alias("descriptions_raw"), _in_order(F.col("unit_id")).alias("text_unit_ids"),
-    )
-    return grouped.withColumn("description", merged_description(F.col("descriptions_raw")))
+    grouped = named(mentions).groupBy(*KEY).agg(F.coalesce(F.min_by("type", "ord"), F.lit(UNKNOWN)).alias("type"), _listed(_text("description"), F.col("unit_id")).alias("_rows"))
+    listed = grouped.select(*KEY, "type", _of("_rows", 0).alias("descriptions_raw"), _of("_rows", 1).alias("text_unit_ids"))
+    return listed.withColumn("description", merged_description(F.col("descriptions_raw")))
 
 
 def group_entities_first(mentions: DataFrame) -> DataFrame:
@@ -78,13 +83,14 @@ def rejected_edges(edges: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def group_edges(edges: DataFrame) -> DataFrame:
     """Edge mentions (source, target, book_number, chapter, type, strength, description, unit_id, ord) by ends, book and chapter; type and weight are the first's."""
-    grouped = edges.groupBy("source", "target", "book_number", "chapter").agg(
-        F.coalesce(F.min_by("type", "ord"), F.lit(UNKNOWN)).alias("type"), weight(F.min_by("strength", "ord")).alias("weight"),
-        _in_order(_text("description")).alias("descriptions_raw"), _in_order(F.col("unit_id")).alias("text_unit_ids"),
+    ends = ["source", "target", "book_number", "chapter"]
+    grouped = edges.groupBy(*ends).agg(
+        F.coalesce(F.min_by("type", "ord"), F.lit(UNKNOWN)).alias("type"), weight(F.min_by("strength", "ord")).alias("weight"), _listed(_text("description"), F.col("unit_id")).alias("_rows"),
     )
-    return grouped.withColumn("description", merged_description(F.col("descriptions_raw"))).withColumn("id", relationship_id(F.col("source"), F.col("target"), F.col("book_number"), F.col("chapter")))
+    listed = grouped.select(*ends, "type", "weight", _of("_rows", 0).alias("descriptions_raw"), _of("_rows", 1).alias("text_unit_ids"))
+    return listed.withColumn("description", merged_description(F.col("descriptions_raw"))).withColumn("id", relationship_id(*map(F.col, ends)))
 
 
-def unit_links(grouped: DataFrame, key) -> DataFrame:
-    """(unit_id, keys): the distinct keys of grouped rows by unit, sorted."""
-    return grouped.select(key.alias("key"), F.explode(F.array_distinct("text_unit_ids")).alias("unit_id")).groupBy("unit_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+def unit_links(mentions: DataFrame, key, out: str = "keys") -> DataFrame:
+    """(unit_id, keys): the keys of a unit's mentions in their order, each as often as it is mentioned."""
+    return mentions.groupBy("unit_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("ord").alias("o"), key.alias("k")))), lambda x: x["k"]).alias(out))

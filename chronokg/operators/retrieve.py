@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronokg.functions.text import tokens
+from chronokg.functions.text import preview, tokens
 from chronokg.schemas import TOP_EDGES
 
 ENTITY_FIELDS = "entity_idx int, ord int, kind string, text string"
@@ -91,12 +91,26 @@ def chronological(sources: DataFrame, by_book: bool = False) -> DataFrame:
     return sources.orderBy(*["book_number"] * by_book, "relative_position", F.desc("score"), "unit_id")
 
 
-def entity_line(name, kind, description) -> Column:
-    return F.concat(F.lit("- "), name, F.lit(" ("), kind, F.lit("): "), description)
+def entity_text(name, kind, description) -> Column:
+    return F.concat(F.lit("**"), name, F.lit("** ("), kind, F.lit(")\n- "), description, F.lit("\n\n"))
 
 
-def edge_line(source, target, description, weight) -> Column:
-    return F.concat(F.lit("  - "), source, F.lit(" → "), target, F.lit(": "), description, F.format_string(" [%.1f]", weight))
+def edge_text(source, target, description) -> Column:
+    return F.concat(F.lit("- **"), source, F.lit("** → **"), target, F.lit("**: "), description, F.lit("\n"))
+
+
+def edge_header(name) -> Column:
+    return F.concat(F.lit("### Relationships для "), name, F.lit(":\n\n"))
+
+
+def source_text(unit_id, text, most: int = 2000) -> Column:
+    return F.concat(F.lit("**Source "), unit_id, F.lit("**:\n"), preview(text, most), F.lit("\n\n"))
+
+
+def chunk_text(place, book, chapter, unit_id, text) -> Column:
+    """A chunk of the plain search's context with its number, book, chapter and id."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    return F.concat(F.lit("[Документ "), place, F.lit("] (Книга "), known(book), F.lit(", Глава "), known(chapter), F.lit(", ID: "), unit_id, F.lit(")\n"), text)
 
 
 def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def _sum(x: Column) -> Column:
@@ -48,17 +51,61 @@ def knn(table: DataFrame, query: list[float], k: int, id: str = "vec_id", embedd
     return present(table, embedding).withColumn("d2", squared_l2(F.col(embedding), q)).orderBy("d2", id).limit(k)
 
 
-def knn_batch(table: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The k nearest rows for each of a bounded set of queries (query_id, query): (query_id, rank, id, d2). Each batch of queries is one broadcast."""
-    order = Window.partitionBy("query_id").orderBy("d2", id)
-    met = present(table, embedding).crossJoin(F.broadcast(queries)).withColumn("d2", squared_l2(F.col(embedding), F.col("query")))
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id, "d2")
+#: Bytes of queries that are broadcast at once.
+QUERY_BYTES = 64 << 20
+
+
+def knn_batch(table: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", embedding: str = "embedding", most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The k nearest rows for each of the queries (query_id, query): (query_id, rank, id, d2).
+
+    Every query needs every row. Queries are cut by their id's hash into parts
+    whose measured size is under ``most_bytes``, and a part at a time is met with
+    the table; tasks keep the k best of each query before anything is shuffled.
+    """
+    size = queries.agg(F.sum(F.size("query") * 8 + 64)).first()[0] or 0
+    parts = max(1, -(-2 * size // most_bytes))
+    order, out = Window.partitionBy("query_id").orderBy("d2", id), None
+    rows = present(table, embedding)
+    for part in range(parts):
+        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        met = rows.join(F.broadcast(own), how="cross").select("query_id", id, squared_l2(F.col(embedding), F.col("query")).alias("d2"))
+        best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out.select("query_id", "rank", id, "d2")
 
 
 def mean_pool(pieces: DataFrame, keys: list[str], embedding: str = "embedding") -> DataFrame:
-    """The unweighted mean vector of each group."""
-    places = pieces.select(*keys, F.posexplode(embedding).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return places.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(embedding))
+    """The unweighted mean vector of each group, of vectors of one length. Sums are made in each task, so that a row per group and task is shuffled."""
+    given = pieces.select(*keys, doubles(F.col(embedding)).alias("_v")).where("_v is not null")
+    schema = given.withColumn("_n", F.lit(0).cast("long")).schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            *names, vectors = batch.columns
+            own = zip(*[c.to_pylist() for c in names]) if names else [()] * batch.num_rows
+            for key, v in zip(own, vectors.to_pylist()):
+                held = sums.get(key)
+                if held is None:
+                    sums[key] = [np.array(v, np.float64), 1]
+                else:
+                    held[0] += v
+                    held[1] += 1
+            if len(sums) > 100_000:
+                yield rows(sums)
+                sums = {}
+        yield rows(sums)
+
+    def rows(sums):
+        columns = [[key[i] for key in sums] for i in range(len(keys))] + [[s[0].tolist() for s in sums.values()], [s[1] for s in sums.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    sums = given.mapInArrow(run, schema)
+    none = F.array().cast("array<double>")
+    place = lambda a, v: F.when(F.size(a) == 0, v).otherwise(F.zip_with(a, v, lambda x, y: x + y))
+    held = sums.groupBy(*keys).agg(F.collect_list("_v").alias("_l"), F.sum("_n").alias("_n"))
+    return held.select(*keys, F.transform(F.aggregate("_l", none, place), lambda x: x / F.col("_n")).alias(embedding))
 
 
 def lookup(table: DataFrame, ids: list, id: str = "vec_id") -> DataFrame:

@@ -11,6 +11,7 @@ from chronokg.functions import text as T
 from chronokg.operators import chunking, graph, retrieve, vectors, windows
 from chronokg.operators.positions import dense_index, in_book, relative_position
 from chronokg.plans import fixtures as X
+from chronokg.plans import pipeline
 from chronokg.sources.store import unprocessed
 from chronokg.streaming.ingest import windowed_counts
 
@@ -47,13 +48,13 @@ def knn_topk(spark, sf_dir):
     return found.select("vec_id", "label", F.round("d2", 6).alias("d2"), F.round(vectors.similarity(F.col("d2")), 6).alias("similarity"))
 
 
-def _queries(spark, sf_dir, n):
-    return X.table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def _queries(spark, sf_dir):
+    return X.table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-@query(f"""SELECT query_id, rank, vec_id, round(d2, 6) AS d2 FROM (SELECT q.vec_id AS query_id, v.vec_id, {_D2} AS d2, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, v.vec_id) AS INTEGER) AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 20) WHERE rank <= 5""")
+@query(f"""SELECT query_id, rank, vec_id, round(d2, 6) AS d2 FROM (SELECT q.vec_id AS query_id, v.vec_id, {_D2} AS d2, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, v.vec_id) AS INTEGER) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
 def knn_batch_topk(spark, sf_dir):
-    return vectors.knn_batch(X.table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir, 20), 5).withColumn("d2", F.round("d2", 6))
+    return vectors.knn_batch(X.table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 5).withColumn("d2", F.round("d2", 6))
 
 
 @query(f"""SELECT vec_id, label FROM (SELECT v.vec_id, v.label FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 1) q ORDER BY {_D2}, v.vec_id LIMIT 30) WHERE label IN (1, 2, 3)""")
@@ -68,9 +69,9 @@ _NORM = f"sqrt({_DOT.format(a='embedding', b='embedding')})"
 @query(f"""WITH q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3 / (3 * {_NORM})) AS embedding FROM embeddings WHERE vec_id = 2)
     SELECT CAST(row_number() OVER (ORDER BY {_D2}, v.vec_id) AS INTEGER) AS rank, v.vec_id, round({_D2}, 6) AS distance FROM embeddings v, q ORDER BY {_D2}, v.vec_id LIMIT 50""")
 def knn_normalized_query(spark, sf_dir):
-    raw = [3 * x for x in _query_vector(spark, sf_dir, 2)]
-    norm = sum(x * x for x in raw) ** 0.5
-    near = vectors.knn(X.table(spark, sf_dir, "embeddings"), [x / norm for x in raw], 50)
+    raw = F.transform("embedding", lambda x: 3 * x.cast("double"))
+    query = X.table(spark, sf_dir, "embeddings").where("vec_id = 2").select(vectors.normalized(raw).alias("q")).first().q
+    near = vectors.knn(X.table(spark, sf_dir, "embeddings"), query, 50)
     return near.withColumn("rank", F.row_number().over(Window.orderBy("d2", "vec_id"))).select("rank", "vec_id", F.round("d2", 6).alias("distance"))
 
 
@@ -101,14 +102,30 @@ def sentence_split(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query()
+_CHUNKS = rf"""RECURSIVE split AS (SELECT doc_id, {_SENTENCES} AS s FROM documents),
+    sent AS (SELECT doc_id, i, s[i] AS t FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM split)),
+    words AS (SELECT doc_id, i, t, list_filter(string_split(t, ' '), lambda w: w <> '') AS w FROM sent WHERE length(t) // 4 > 128),
+    cut AS (SELECT doc_id, i, 1 AS k, 0 AS g, 0 AS held, false AS alone FROM words
+        UNION ALL SELECT c.doc_id, c.i, c.k + 1, CASE WHEN c.k = 1 OR (NOT c.alone AND NOT n.over AND (c.held + 1 + n.l) // 4 <= 128) THEN c.g ELSE c.g + 1 END,
+            CASE WHEN c.k > 1 AND NOT c.alone AND NOT n.over AND (c.held + 1 + n.l) // 4 <= 128 THEN c.held + 1 + n.l ELSE n.l END, n.over
+        FROM cut c JOIN (SELECT doc_id, i, unnest(range(1, len(w) + 1)) AS k, length(unnest(w)) AS l, l // 4 > 128 AS over FROM words) n ON n.doc_id = c.doc_id AND n.i = c.i AND n.k = c.k),
+    pieces AS (SELECT c.doc_id, c.i, c.g, string_agg(n.word, ' ' ORDER BY c.k) AS t FROM cut c JOIN (SELECT doc_id, i, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM words) n ON n.doc_id = c.doc_id AND n.i = c.i AND n.k = c.k - 1 GROUP BY ALL),
+    item AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, g) AS j, t, length(t) AS l, alone FROM (SELECT doc_id, i, 0 AS g, t, false AS alone FROM sent WHERE length(t) // 4 <= 128 UNION ALL SELECT doc_id, i, g, t, true FROM pieces)),
+    pack AS (SELECT doc_id, j, 0 AS g, l AS held, alone FROM item WHERE j = 1
+        UNION ALL SELECT p.doc_id, n.j, CASE WHEN p.alone OR n.alone OR (p.held + 1 + n.l) // 4 > 128 THEN p.g + 1 ELSE p.g END,
+            CASE WHEN p.alone OR n.alone OR (p.held + 1 + n.l) // 4 > 128 THEN n.l ELSE p.held + 1 + n.l END, n.alone
+        FROM pack p JOIN item n ON n.doc_id = p.doc_id AND n.j = p.j + 1),
+    chunks AS (SELECT doc_id, CAST(g AS INTEGER) AS chunk_index, string_agg(t, ' ' ORDER BY j) AS text FROM pack JOIN item USING (doc_id, j) GROUP BY doc_id, g)"""
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, text, CAST(length(text) // 4 AS INTEGER) AS tokens FROM chunks")
 def greedy_chunks(spark, sf_dir):
     return chunking.chunk_sections(X.table(spark, sf_dir, "documents"), ["doc_id"], 128)
 
 
-@query()
+@query(f"WITH {_CHUNKS} SELECT count(*) AS n_chunks, round(avg(length(text) // 4), 6) AS avg_tokens, CAST(min(length(text) // 4) AS INTEGER) AS min_tokens, CAST(max(length(text) // 4) AS INTEGER) AS max_tokens FROM chunks")
 def chunk_stats(spark, sf_dir):
-    return chunking.chunk_statistics(chunking.chunk_sections(X.table(spark, sf_dir, "documents"), ["doc_id"], 128))
+    return chunking.chunk_statistics(chunking.chunk_sections(X.table(spark, sf_dir, "documents"), ["doc_id"], 128)).withColumn("avg_tokens", F.round("avg_tokens", 6))
 
 
 @query("""WITH RECURSIVE w AS (SELECT item_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM benchmark),
@@ -123,19 +140,20 @@ def word_packing(spark, sf_dir):
 @query(r"""WITH e AS (SELECT conv_id, turn, text, CASE WHEN turn % 5 = 0 THEN 'section_header' ELSE 'text' END AS label, CASE WHEN turn % 2 = 0 THEN rtrim(text) ELSE rtrim(text, '.!?… ') END AS t FROM conversations),
     b AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM e),
     s AS (SELECT *, sum(CASE WHEN before IS NULL OR regexp_matches(before, '[.!?…]$') OR label LIKE '%header%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM b)
-    SELECT conv_id, min(turn) AS pos, count(*) AS n_parts, sum(length(t)) AS n_chars FROM s GROUP BY conv_id, part""")
+    SELECT conv_id, min(turn) AS pos, count(*) AS n_parts, string_agg(t || CASE WHEN turn = last OR t = '' OR regexp_matches(t, '[ -]$') THEN '' ELSE ' ' END, '' ORDER BY turn) AS joined
+    FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id, part) AS last FROM s) GROUP BY conv_id, part""")
 def fragment_merge(spark, sf_dir):
     turns = X.table(spark, sf_dir, "conversations")
     open_ended = F.when(F.col("turn") % 2 == 0, F.rtrim("text")).otherwise(F.rtrim("text", F.lit(".!?… ")))
     merged = chunking.merge_fragments(turns.select("conv_id", F.col("turn").alias("pos"), F.when(F.col("turn") % 5 == 0, "section_header").otherwise("text").alias("label"), open_ended.alias("text")), "conv_id")
-    glue = F.col("n_parts") - 1 - F.lit(0)
-    return merged.select("conv_id", "pos", "n_parts", (F.length("text") - glue).cast("decimal(38,0)").alias("n_chars"))
+    return merged.select("conv_id", "pos", "n_parts", F.col("text").alias("joined"))
 
 
-@query("SELECT item_id, CAST(length(text) // 4 AS INTEGER) AS tokens, CAST(greatest(1, ceil(length(text) / 80.0)) AS INTEGER) AS pieces, substr(text, 1, 80) AS first_piece FROM benchmark")
+@query("""SELECT item_id, CAST(length(text) // 4 AS INTEGER) AS tokens, CAST(greatest(1, ceil(length(text) / 80.0)) AS INTEGER) AS pieces,
+    array_to_string(list_transform(range(0, greatest(1, CAST(ceil(length(text) / 80.0) AS BIGINT))), lambda k: substr(text, k * 80 + 1, 80)), chr(31)) AS all_pieces FROM benchmark""")
 def token_pieces(spark, sf_dir):
     pieces = T.token_pieces(F.col("text"), 20)
-    return X.table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("tokens"), F.size(pieces).alias("pieces"), F.get(pieces, 0).alias("first_piece"))
+    return X.table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("tokens"), F.size(pieces).alias("pieces"), F.array_join(pieces, "\x1f").alias("all_pieces"))
 
 
 @query(r"""WITH f AS (SELECT lpad(CAST(o_orderkey % 97 AS VARCHAR), 2, '0') || '_' || replace(o_orderpriority, ' ', '_') || '_chunks.json' AS f, o_orderkey FROM orders)
@@ -145,12 +163,17 @@ def book_title_parse(spark, sf_dir):
     return X.table(spark, sf_dir, "orders").select("o_orderkey", T.book_number(name).alias("book_number"), T.book_title(name).alias("book_title"))
 
 
-_ASKED = ["what happens in the first book", "in the second book, at the beginning", "the beginning of it all", "the end of the story", "throughout the years", "who is it", "book 7 please", "the fourth book and the fifth book"]
+_ASKED = [
+    "Что случилось В ПЕРВОЙ КНИГЕ?", "Кто открыл тайная комната", "узник азкабана и кубок огня", "Кубок огня: кто победил?", "Орден Феникса", "принц-полукровка", "дары смерти в начале",
+    "что было сначала", "Последняя битва", "как изменился герой на протяжении серии", "эволюция дружбы", "кто это такой?", "впервые в конце", "седьмая книга, вторая книга",
+]
 
 
-@query(f"""SELECT part_key, question, CASE WHEN regexp_matches(q, '\\bbook 1\\b|first book') THEN '1' WHEN regexp_matches(q, 'second book') THEN '2' WHEN regexp_matches(q, 'third book') THEN '3' WHEN regexp_matches(q, 'fourth book') THEN '4' WHEN regexp_matches(q, 'fifth book') THEN '5'
-    WHEN regexp_matches(q, 'sixth book') THEN '6' WHEN regexp_matches(q, 'book 7|seventh book') THEN '7' WHEN regexp_matches(q, 'beginning') THEN '1,2' WHEN regexp_matches(q, 'end of') THEN '6,7' WHEN regexp_matches(q, 'throughout') THEN '1,2,3,4,5,6,7' END AS books
-    FROM (SELECT p_partkey AS part_key, ({_ASKED!r})[p_partkey % {len(_ASKED)} + 1] AS question, lower(question) AS q FROM part)""")
+@query("""SELECT part_key, question, CASE WHEN regexp_matches(q, 'в первой книге|философский камень|первая книга') THEN '1' WHEN regexp_matches(q, 'во второй книге|тайная комната|вторая книга') THEN '2'
+    WHEN regexp_matches(q, 'в третьей книге|узник азкабана|третья книга') THEN '3' WHEN regexp_matches(q, 'в четвертой книге|кубок огня|четвертая книга') THEN '4' WHEN regexp_matches(q, 'в пятой книге|орден феникса|пятая книга') THEN '5'
+    WHEN regexp_matches(q, 'в шестой книге|принц-полукровка|шестая книга') THEN '6' WHEN regexp_matches(q, 'в седьмой книге|дары смерти|седьмая книга') THEN '7' WHEN regexp_matches(q, 'в начале|сначала|впервые') THEN '1,2'
+    WHEN regexp_matches(q, 'в конце|финал|последн') THEN '6,7' WHEN regexp_matches(q, 'как изменился|эволюция|развитие|на протяжении') THEN '1,2,3,4,5,6,7' END AS books
+    FROM (SELECT p_partkey AS part_key, (%s)[p_partkey %% %d + 1] AS question, lower(question) AS q FROM part)""" % (_ASKED, len(_ASKED)))
 def book_hints(spark, sf_dir):
     asked = F.get(F.array(*map(F.lit, _ASKED)), (F.col("p_partkey") % len(_ASKED)).cast("int"))
     return X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), asked.alias("question")).withColumn("books", joined(T.book_hints(F.col("question")).cast("array<string>")))
@@ -218,10 +241,10 @@ def edge_grouping(spark, sf_dir):
     return g.select("source", "target", "book_number", "chapter", "type", "weight", joined("descriptions_raw").alias("descriptions_raw"), joined(F.col("text_unit_ids").cast("array<string>")).alias("text_unit_ids"), "id")
 
 
-@query(f"""WITH {_MENTIONS} SELECT unit_id, string_agg(DISTINCT k, ',' ORDER BY k) AS keys FROM (SELECT unit_id, name || '|' || book_number || '|' || chapter AS k FROM m) GROUP BY unit_id""")
+@query(f"""WITH {_MENTIONS} SELECT unit_id, string_agg(name || '|' || book_number || '|' || chapter, ',' ORDER BY {_ORD}) AS keys FROM m GROUP BY unit_id""")
 def unit_backlinks(spark, sf_dir):
     key = T.entity_key(F.col("name"), F.col("book_number"), F.col("chapter"))
-    return graph.unit_links(graph.group_entities(X.mentions(spark, sf_dir)), key).withColumn("keys", joined("keys"))
+    return graph.unit_links(X.mentions(spark, sf_dir), key).withColumn("keys", joined("keys"))
 
 
 @query("SELECT o_orderkey, md5(o_orderstatus || '|' || o_orderpriority) AS entity_id, o_orderstatus || '|' || year(o_orderdate) || '|' || o_orderpriority AS entity_key FROM orders")
@@ -231,7 +254,7 @@ def entity_ids(spark, sf_dir):
 
 # --- windows -----------------------------------------------------------------------------------------------------
 _UNITS = "u AS (SELECT o_orderkey AS unit_id, CAST(year(o_orderdate) - 1994 AS INTEGER) AS book_number, 'Q' || quarter(o_orderdate) AS chapter, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) - 1 AS chunk_index, count(*) OVER (PARTITION BY year(o_orderdate)) AS n FROM orders)"
-_WINDOWS = f"""{_UNITS}, links AS (SELECT DISTINCT l_orderkey AS unit_id, 'supp:' || l_suppkey AS entity, l_partkey AS part FROM lineitem WHERE l_returnflag = 'R'),
+_WINDOWS = f"""{_UNITS}, links AS (SELECT DISTINCT l_orderkey AS unit_id, 'supp:' || l_suppkey AS entity FROM lineitem),
     held AS (SELECT u.*, s AS start FROM u, LATERAL (SELECT unnest(range(0, n, 15)) AS s) WHERE chunk_index >= s AND chunk_index < s + 20),
     bounds AS (SELECT book_number, start, min(chunk_index) AS range_start, max(chunk_index) AS range_end, min(chunk_index / greatest(n - 1, 1)) AS position_start, max(chunk_index / greatest(n - 1, 1)) AS position_end, count(*) AS n_units FROM held GROUP BY ALL),
     members AS (SELECT DISTINCT book_number, start, entity FROM held JOIN links USING (unit_id)),
@@ -239,8 +262,16 @@ _WINDOWS = f"""{_UNITS}, links AS (SELECT DISTINCT l_orderkey AS unit_id, 'supp:
 
 
 def _communities(spark, sf_dir):
-    links = X.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("unit_id"), F.concat(F.lit("supp:"), "l_suppkey").alias("entity")).distinct()
-    return windows.communities(X.units(spark, sf_dir), links)
+    line = X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.concat(F.lit("supp:"), "l_suppkey").alias("entity"))
+    return windows.communities(X.units(spark, sf_dir), line.distinct())
+
+
+def _tied_communities(spark, sf_dir):
+    """Communities with the relationships of their units; and those, a row per unit and edge."""
+    e = X.edges(spark, sf_dir)
+    edges = e.select("unit_id", T.relationship_id(F.col("source"), F.col("target"), F.col("book_number"), F.col("chapter")).alias("edge"), "source", "target").distinct()
+    line = X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.concat(F.lit("supp:"), "l_suppkey").alias("entity"))
+    return windows.communities(X.units(spark, sf_dir), line.distinct(), edges=edges.select("unit_id", "edge")), edges
 
 
 @query(f"""WITH {_WINDOWS} SELECT id, book_number, range_start, range_end, round(position_start, 6) AS position_start, round(position_end, 6) AS position_end, n_units, entities FROM w JOIN (SELECT book_number, start, string_agg(entity, ',' ORDER BY entity) AS entities FROM members GROUP BY ALL) USING (book_number, start)""")
@@ -255,11 +286,40 @@ def window_details_top50(spark, sf_dir):
     return windows.details(_communities(spark, sf_dir).select("id", F.explode("entities").alias("entity")), first).select("id", "entity", "first_chunk", "rank")
 
 
-_KEYS = "k AS (SELECT 'supp:' || s_suppkey AS entity FROM supplier WHERE s_suppkey <= 10)"
+@query(f"""WITH {_WINDOWS}, {_LINES}, e AS (SELECT DISTINCT l_orderkey AS unit_id, md5('part:' || l_partkey || '|supp:' || l_suppkey || '|' || book_number || '|' || chapter) AS edge FROM l),
+    r AS (SELECT book_number, start, count(DISTINCT edge) AS n_edges, md5(string_agg(DISTINCT edge, ',' ORDER BY edge)) AS edges_md5 FROM held JOIN e USING (unit_id) GROUP BY ALL),
+    t AS (SELECT book_number, start, string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY chunk_index) AS text_unit_ids FROM held GROUP BY ALL)
+    SELECT id, coalesce(n_edges, 0) AS n_edges, coalesce(edges_md5, md5('')) AS edges_md5, text_unit_ids FROM w JOIN t USING (book_number, start) LEFT JOIN r USING (book_number, start)""")
+def window_relationships(spark, sf_dir):
+    found, _ = _tied_communities(spark, sf_dir)
+    return found.select("id", F.size("relationships").cast("long").alias("n_edges"), F.md5(joined("relationships")).alias("edges_md5"), joined(F.col("text_unit_ids").cast("array<string>")).alias("text_unit_ids"))
+
+
+@query(f"""WITH {_WINDOWS}, {_LINES}, head AS (SELECT w.book_number, w.start, (SELECT any_value(u.chapter) FROM u WHERE u.book_number = w.book_number AND u.chunk_index = w.range_start) AS chapter FROM w),
+    e AS (SELECT DISTINCT l_orderkey AS unit_id, md5('part:' || l_partkey || '|supp:' || l_suppkey || '|' || book_number || '|' || chapter) AS edge, 'supp:' || l_suppkey AS target FROM l),
+    weights AS (SELECT md5('part:' || l_partkey || '|supp:' || l_suppkey || '|' || book_number || '|' || chapter) AS edge, first(1 + CAST(floor(l_quantity) AS INTEGER) % 10 ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS s FROM l GROUP BY 1),
+    own AS (SELECT DISTINCT h.book_number, h.chapter, edge, target FROM head h JOIN held USING (book_number, start) JOIN e USING (unit_id)),
+    ents AS (SELECT DISTINCT h.book_number, h.chapter, entity FROM head h JOIN members USING (book_number, start))
+    SELECT n.book_number, n.chapter, entity, count(edge) AS n_edges, CAST(coalesce(sum(s), 0) AS BIGINT) AS strength FROM ents n LEFT JOIN own o ON o.book_number = n.book_number AND o.chapter = n.chapter AND o.target = n.entity LEFT JOIN weights USING (edge) GROUP BY ALL""")
+def chapter_instances(spark, sf_dir):
+    heads = X.units(spark, sf_dir).select("book_number", F.col("chunk_index").alias("range_start"), "chapter")
+    found, _ = _tied_communities(spark, sf_dir)
+    rolled = windows.chapters(found.join(heads, ["book_number", "range_start"]))
+    held = windows.chapter_instances(rolled, graph.group_edges(X.edges(spark, sf_dir)))
+    return held.select("book_number", "chapter", "entity", F.size("edges").cast("long").alias("n_edges"), F.aggregate("strengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("strength"))
+
+
+#: The entities that a question selects, by how often they are mentioned.
+_KEYS = "k AS (SELECT entity FROM (SELECT 'supp:' || l_suppkey AS entity, count(*) AS c FROM lineitem GROUP BY 1) ORDER BY c DESC, entity LIMIT 10)"
+
+
+def _most_mentioned(spark, sf_dir, kind, column, k):
+    named = X.table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit(kind), column).alias("entity")).agg(F.count("*").alias("c"))
+    return named.orderBy(F.desc("c"), "entity").limit(k).select("entity")
 
 
 def _keys(spark, sf_dir):
-    return X.table(spark, sf_dir, "supplier").where("s_suppkey <= 10").select(F.concat(F.lit("supp:"), "s_suppkey").alias("entity"))
+    return _most_mentioned(spark, sf_dir, "supp:", "l_suppkey", 10)
 
 
 @query(f"""WITH {_WINDOWS}, {_KEYS} SELECT id, book_number, CAST(window_no AS INTEGER) AS "window", count(*) AS overlap FROM w JOIN members USING (book_number, start) JOIN k USING (entity) WHERE book_number IN (1, 2, 3) GROUP BY ALL ORDER BY overlap DESC, book_number, "window" LIMIT 5""")
@@ -288,7 +348,7 @@ def chapter_rollup(spark, sf_dir):
 
 # --- retrieval ---------------------------------------------------------------------------------------------------
 _EDGES = f"{_LINES}, ed AS (SELECT md5('part:' || l_partkey || '|supp:' || l_suppkey || '|' || book_number || '|' || chapter) AS id, 'part:' || l_partkey AS source_key, 'supp:' || l_suppkey AS target_key, min(l_orderkey) AS position FROM l GROUP BY l_partkey, l_suppkey, book_number, chapter)"
-_BOTH = "k AS (SELECT 'supp:' || s_suppkey AS entity FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT 'part:' || p_partkey FROM part WHERE p_partkey <= 20)"
+_BOTH = "k AS (SELECT entity FROM (SELECT 'supp:' || l_suppkey AS entity, count(*) AS c FROM lineitem GROUP BY 1 ORDER BY c DESC, entity LIMIT 3) UNION ALL SELECT entity FROM (SELECT 'part:' || l_partkey AS entity, count(*) AS c FROM lineitem GROUP BY 1 ORDER BY c DESC, entity LIMIT 20))"
 
 
 def _edges(spark, sf_dir):
@@ -297,8 +357,7 @@ def _edges(spark, sf_dir):
 
 
 def _both(spark, sf_dir):
-    parts = X.table(spark, sf_dir, "part").where("p_partkey <= 20").select(F.concat(F.lit("part:"), "p_partkey").alias("entity"))
-    return X.table(spark, sf_dir, "supplier").where("s_suppkey <= 3").select(F.concat(F.lit("supp:"), "s_suppkey").alias("entity")).unionByName(parts)
+    return _most_mentioned(spark, sf_dir, "supp:", "l_suppkey", 3).unionByName(_most_mentioned(spark, sf_dir, "part:", "l_partkey", 20))
 
 
 @query(f"WITH {_EDGES}, {_BOTH} SELECT id, source_key, target_key, position FROM ed WHERE source_key IN (SELECT entity FROM k) OR target_key IN (SELECT entity FROM k)")
@@ -313,10 +372,10 @@ def edges_in_out_network(spark, sf_dir):
     return owned.withColumn("rank", F.row_number().over(retrieve.edge_order())).where("rank <= 10").select("entity", "id", "in_net", "rank")
 
 
-@query("""WITH e AS (SELECT l_suppkey, l_orderkey AS unit_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem WHERE l_suppkey <= 10),
+@query("""WITH e AS (SELECT l_suppkey, l_orderkey AS unit_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem),
     c AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY l_suppkey, pos) AS n FROM e) SELECT 'supp:' || l_suppkey AS entity, l_suppkey AS entity_idx, CAST(pos AS INTEGER) AS pos, unit_id FROM c WHERE n = 1""")
 def unit_first_claim(spark, sf_dir):
-    listed = X.table(spark, sf_dir, "lineitem").where("l_suppkey <= 10").groupBy("l_suppkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_orderkey"]).alias("text_unit_ids"))
+    listed = X.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_orderkey"]).alias("text_unit_ids"))
     return retrieve.first_claims(listed.select(F.concat(F.lit("supp:"), "l_suppkey").alias("entity"), F.col("l_suppkey").alias("entity_idx"), "text_unit_ids")).select("entity", "entity_idx", "pos", "unit_id")
 
 
@@ -326,25 +385,35 @@ def prefix_budget(spark, sf_dir):
     return retrieve.prefix_budget(docs, 6617, ["source"], ["doc_id"], header=20)
 
 
-@query()
+@query("""WITH RECURSIVE item AS (SELECT l_suppkey AS query_id, l_orderkey % 50 AS cost, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS j, list(CAST(trunc(l_quantity) AS INTEGER) ORDER BY l_linenumber, l_quantity)[:10] AS edges FROM lineitem GROUP BY l_suppkey, l_orderkey),
+    taken AS (SELECT query_id, 0::BIGINT AS j, 0::BIGINT AS total, []::BIGINT[] AS taken FROM (SELECT DISTINCT query_id FROM item)
+        UNION ALL SELECT query_id, j, start + coalesce(list_sum(edges[:n]), 0), list_append(taken, n) FROM (
+            SELECT t.query_id, i.j, t.taken, i.edges, t.total + i.cost + 3 AS start,
+                coalesce(len(list_filter(range(1, len(i.edges) + 1), lambda k: t.total + i.cost + 3 + list_sum(i.edges[:k]) <= 300)), 0) AS n
+            FROM taken t JOIN item i ON i.query_id = t.query_id AND i.j = t.j + 1 WHERE t.total + i.cost <= 300))
+    SELECT query_id, CAST(max_by(total, j) AS INTEGER) AS total, array_to_string(max_by(taken, j), ',') AS taken FROM taken GROUP BY query_id""")
 def stateful_budget(spark, sf_dir):
     line = X.table(spark, sf_dir, "lineitem")
     one = line.groupBy("l_suppkey", "l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))), lambda x: x["q"]).alias("edges"))
-    items = one.groupBy(F.col("l_suppkey").alias("query_id")).agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("l_orderkey", "edges"))), 1, 10), lambda x: F.struct((x["l_orderkey"] % 50).cast("int").alias("cost"), F.lit(3).alias("header"), x["edges"].alias("edges"))).alias("items"))
+    item = lambda x: F.struct((x["l_orderkey"] % 50).cast("int").alias("cost"), F.lit(3).alias("header"), x["edges"].alias("edges"))
+    items = one.groupBy(F.col("l_suppkey").alias("query_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "edges"))), item).alias("items"))
     return retrieve.stateful_budget(items, 300).select("query_id", "total", joined(F.col("taken").cast("array<string>")).alias("taken"))
 
 
-@query(f"""WITH {_UNITS} SELECT unit_id, book_number, CAST(row_number() OVER (ORDER BY p, score DESC, unit_id) AS INTEGER) AS place FROM (SELECT unit_id, book_number, chunk_index / greatest(n - 1, 1) AS p, 1 / (1 + CAST(unit_id % 7 AS DOUBLE)) AS score FROM u WHERE unit_id % 10 = 0 ORDER BY score DESC, unit_id LIMIT 200)""")
+@query(f"""WITH {_UNITS} SELECT unit_id, book_number, row_number() OVER (ORDER BY p, score DESC, unit_id) AS place FROM (SELECT unit_id, book_number, chunk_index / greatest(n - 1, 1) AS p, 1 / (1 + CAST(unit_id % 7 AS DOUBLE)) AS score FROM u)""")
 def chronological_sources(spark, sf_dir):
-    scored = X.units(spark, sf_dir).where("unit_id % 10 = 0").withColumn("score", 1 / (1 + F.col("unit_id") % 7)).orderBy(F.desc("score"), "unit_id").limit(200)
-    return scored.withColumn("place", F.row_number().over(Window.orderBy("relative_position", F.desc("score"), "unit_id"))).select("unit_id", "book_number", "place")
+    scored = X.units(spark, sf_dir).withColumn("score", 1 / (1 + F.col("unit_id") % 7)).withColumn("worse", -F.col("score"))
+    placed = dense_index(scored, ["relative_position", "worse", "unit_id"], "place").withColumn("place", F.col("place") + 1)
+    return retrieve.chronological(placed).select("unit_id", "book_number", "place")
 
 
-@query("""SELECT source, string_agg(line, chr(10) ORDER BY doc_id) AS context FROM (SELECT source, doc_id, '[' || doc_id || '] ' || CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS line, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5 GROUP BY source""")
+@query("""WITH t AS (SELECT source, doc_id, '**Source ' || doc_id || '**:' || chr(10) || CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END || chr(10) || chr(10) AS line FROM documents),
+    r AS (SELECT *, sum(length(line) // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) + 2 AS running FROM t)
+    SELECT source, string_agg(line, '' ORDER BY doc_id) AS context FROM r WHERE running <= 6617 GROUP BY source""")
 def context_string(spark, sf_dir):
-    docs = X.table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("["), "doc_id", F.lit("] "), T.preview(F.col("text"), 200)).alias("line"))
-    first = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 5")
-    return first.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n").alias("context"))
+    docs = X.table(spark, sf_dir, "documents").select("source", "doc_id", retrieve.source_text(F.col("doc_id").cast("string"), F.col("text")).alias("line"))
+    kept = retrieve.prefix_budget(retrieve.with_tokens(docs, "line"), 6617, ["source"], ["doc_id"], header=2)
+    return kept.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "").alias("context"))
 
 
 # --- recovery, statistics, events --------------------------------------------------------------------------------
@@ -359,6 +428,15 @@ def resume_anti_join(spark, sf_dir):
     return unprocessed(X.table(spark, sf_dir, "documents").select("doc_id"), X.table(spark, sf_dir, "labels"), "doc_id")
 
 
+@query("""SELECT event_id, CASE WHEN ok THEN 'done' WHEN tried THEN 'again' ELSE 'new' END AS state FROM
+    (SELECT e.event_id, coalesce(bool_or(r.event_type <> 'error' AND r.value >= 10), false) AS ok, count(r.event_id) > 0 AS tried FROM events e LEFT JOIN (SELECT * FROM events WHERE value >= 5) r USING (event_id) GROUP BY e.event_id)""")
+def resume_failed(spark, sf_dir):
+    """Units that a run has answered, those whose call failed and are asked again, and those never asked."""
+    events = X.table(spark, sf_dir, "events")
+    replies = events.where("value >= 5").select(F.col("event_id").alias("unit_id"), F.when((F.col("event_type") != "error") & (F.col("value") >= 10), "ok").alias("reply"))
+    return pipeline.progress(events.select(F.col("event_id").alias("id")), replies).select(F.col("id").alias("event_id"), "state")
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     counted = windowed_counts(X.table(spark, sf_dir, "events"))

@@ -15,14 +15,14 @@ UNITS = "id string, text string, book_number int, global_chunk_index long, headi
 
 
 def ingest(spark: SparkSession, source: str, out: str, checkpoint: str, make: Callable[[], Provider] = Offline, files: int = 20) -> StreamingQuery:
-    """New JSON-lines files of text units to ``out``/entity_mentions and ``out``/edge_mentions, ``files`` at a time.
+    """New JSON-lines files of text units to ``out``/entity_mentions, edge_mentions and failed_units, ``files`` at a time.
 
     A batch is written under its number, so one that runs again after a failure
     overwrites its own rows and adds none.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        for name, df in zip(("entity_mentions", "edge_mentions"), extract(batch, make)):
+        for name, df in zip(("entity_mentions", "edge_mentions", "failed_units"), extract(batch, make)):
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
     units = spark.readStream.schema(UNITS).option("maxFilesPerTrigger", files).json(source)

@@ -1,17 +1,25 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags. In the first pass each block is
-good, bad or, if short, undecided: by the part of the page that it stands in
-(menus, forms, notices and the like are bad), its share of linked text, its
-share of stop words and its length. In the second pass undecided blocks take
-the label of their nearest decided neighbours. Where a page marks its article,
-blocks outside are bad and those inside are bad only for a reason.
+A page is cut into blocks at block-level tags. Parts that aren't the article
+(menus, forms, notices and the like) are told by their tags and by words of their
+names, but no name counts that stands above most of the page's text, and a page
+that marks its article has no other part. In the first pass each other block is
+good, bad or undecided: by its share of linked text, its share of stop words (on
+pages in a language that we have some of) and its length. In the second pass
+undecided blocks take the label of their nearest decided neighbours, of those in
+the same container if there are any, whatever stands in the other parts. In a
+marked article only lists of links and the headings right above them are bad.
+
+Scanning takes time in proportion to the page: a tag that never ends makes
+quotes count no more from there on, and elements nested deeper than ``DEEPEST``
+are taken as standing side by side, as browsers do.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +49,11 @@ HINTS = frozenset(
     share sharing social related recommended recommendations widget widgets pagination pager skip copyright legal disclaimer contentinfo complementary
     """.split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
+_MARKUP = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)"
+#: A tag with quoted values, and one that ends at the next > whatever is quoted.
+_TAG = re.compile(_MARKUP + r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
+_PLAIN_TAG = re.compile(_MARKUP + r"([^>]*+)>", re.S)
+_NEXT = re.compile(r"<(?:[!?]|/?[A-Za-z])")
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PARTS = re.compile(r"[^a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,17 +62,33 @@ _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript template noframes".split())
-_ROOT = ("", False, False, False, False)
+_RAW = frozenset("script style textarea noscript iframe noframes noembed title template svg".split())
+_CONTAINERS = frozenset("article aside body div dl form html main ol section table td ul".split())
+_INNER = frozenset("article td div section li p".split())
+_CLOSERS = frozenset("p td th li div section article body button".split())
 
-SHORT, LINKS, STOPS_LOW, STOPS_HIGH = 70, 0.33, 0.1, 0.25
+SHORT, LINKS, STOPS_LOW, STOPS_HIGH, DEEPEST = 70, 0.33, 0.1, 0.25, 256
 GOOD, BAD, OPEN = 1, -1, 0
 
 
+class Element:
+    """An open element: ``outside`` by tag, ``hints`` are the hinted elements around it (within its article), ``above`` those around its article, ``home`` its container."""
+
+    __slots__ = ("tag", "silent", "outside", "inside", "hints", "above", "home")
+
+    def __init__(self, tag="", silent=False, outside=False, inside=False, hints=(), above=(), home=0):
+        self.tag, self.silent, self.outside, self.inside, self.hints, self.above, self.home = tag, silent, outside, inside, hints, above, home
+
+
+_ROOT = Element()
+
+
 class Block:
-    __slots__ = ("text", "linked", "outside", "inside", "heading", "wrapped", "item")
+    __slots__ = ("text", "linked", "outside", "inside", "hints", "above", "home", "heading", "item")
 
-    def __init__(self, text, linked, outside, inside, heading, wrapped=False, item=False):
-        self.text, self.linked, self.outside, self.inside, self.heading, self.wrapped, self.item = text, linked, outside, inside, heading, wrapped, item
+    def __init__(self, text, linked, at: Element, heading=False, item=False):
+        self.text, self.linked, self.heading, self.item = text, linked, heading, item
+        self.outside, self.inside, self.hints, self.above, self.home = at.outside, at.inside, at.hints, at.above, at.home
 
 
 def _hinted(attributes: str, named: bool = False) -> tuple[bool, bool, bool]:
@@ -78,97 +106,132 @@ def _hinted(attributes: str, named: bool = False) -> tuple[bool, bool, bool]:
     return outside, main, hidden or "hidden" in bare
 
 
+class _Page:
+    """The open elements of a page while it is read, and its blocks."""
+
+    def __init__(self):
+        self.out: list[Block] = []
+        self.stack: list[Element] = []
+        self.held: Counter[str] = Counter()  # open elements by tag, and those beyond the deepest
+        self.flat: Counter[str] = Counter()
+        self.text: list[str] = []
+        self.links: list[str] = []
+        self.named = 0
+
+    def top(self) -> Element:
+        return self.stack[-1] if self.stack else _ROOT
+
+    def words(self, part: str) -> None:
+        if not part:
+            return
+        if self.top().tag == "head" and part.strip():
+            self.close(len(self.stack) - 1)
+        if not self.top().silent:
+            self.text.append(part)
+            if self.held["a"]:
+                self.links.append(part)
+
+    def flush(self) -> None:
+        if self.text:
+            whole = " ".join(entities.unescape("".join(self.text)).split())
+            if whole:
+                linked = len(" ".join(entities.unescape(" ".join(self.links)).split()))
+                heading = any(e.tag in _HEADINGS for e in self.stack[-4:])
+                self.out.append(Block(whole, min(1.0, linked / len(whole)), self.top(), heading, self.held["li"] > 0))
+            self.text.clear()
+            self.links.clear()
+
+    def close(self, upto: int) -> None:
+        for e in self.stack[upto:]:
+            self.held[e.tag] -= 1
+        del self.stack[upto:]
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        if not any(self.held[t] for t in tags):
+            return -1
+        return next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag in tags)
+
+    def open(self, tag: str, attributes: str) -> None:
+        if self.top().tag == "head" and tag not in _IN_HEAD:
+            self.close(len(self.stack) - 1)
+        if tag in BLOCKS:
+            self.flush()
+            if tag in _P_ENDS and self.held["p"]:
+                near = self.nearest(_CLOSERS)
+                if self.stack[near].tag == "p":
+                    self.close(near)
+            if tag in _SAME and self.held[tag]:
+                near = self.nearest((tag, *_SAME[tag]))
+                if self.stack[near].tag == tag:
+                    self.close(near)
+        if tag in VOID or attributes.endswith("/") and attributes[-2:-1] in ("", " ", "\t", "\n", "\r", '"', "'"):
+            return
+        if len(self.stack) >= DEEPEST:
+            self.flat[tag] += 1
+            return
+        up = self.top()
+        hinted, main, hidden = _hinted(attributes, up.inside and tag == "section") if attributes and not attributes.isspace() else (False, False, False)
+        starts = (tag in ("article", "main") or main) and not up.inside
+        if tag in ("article", "main", "body", "html") or up.inside and tag in _HEADINGS:
+            hinted = False  # a theme's classes on these say nothing, nor do anchors of headings
+        self.named += 1
+        hints, above = ((), up.hints) if starts else (up.hints, up.above)
+        inner = tag == "article" and up.inside and self.held["article"] > 0
+        self.stack.append(Element(
+            tag, up.silent or tag in SILENT or hidden, up.outside or tag in OUTSIDE or tag == "header" and not up.inside or inner,
+            up.inside or starts, (*hints, self.named) if hinted else hints, above, self.named if tag in _CONTAINERS else up.home,
+        ))
+        self.held[tag] += 1
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCKS:
+            self.flush()
+        if self.flat[tag] > 0:
+            self.flat[tag] -= 1
+            return
+        near = self.nearest((tag,))
+        if near < 0:
+            return
+        if tag in BLOCKS or not any(e.tag in _INNER for e in self.stack[near + 1 :]):
+            self.close(near)
+        else:
+            self.held[tag] -= 1
+            del self.stack[near]
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, without empty ones."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, silent, outside, inside an article, only by hints around the article outside
-    text: list[str] = []
-    links: list[str] = []
-    depth = {"a": 0}
-
-    def flush(heading: bool) -> None:
-        if text:
-            whole = " ".join(entities.unescape("".join(text)).split())
-            if whole:
-                _, _, outside, inside, wrapped = stack[-1] if stack else _ROOT
-                linked = len(" ".join(entities.unescape(" ".join(links)).split()))
-                out.append(Block(whole, min(1.0, linked / len(whole)), outside, inside, heading, wrapped, any(t[0] == "li" for t in stack)))
-            text.clear()
-            links.clear()
-
-    def heading() -> bool:
-        return any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in stack[-4:])
-
-    def close(upto: int) -> None:
-        for tag, *_ in stack[upto:]:
-            if tag == "a":
-                depth["a"] = max(0, depth["a"] - 1)
-        del stack[upto:]
-
-    at, n = 0, len(page)
+    own, pattern, endless, at, n = _Page(), _TAG, set(), 0, len(page)
+    last = page.rfind(">")
     while at < n:
-        m = _TAG.search(page, at)
-        part = page[at : m.start() if m else n]
-        if stack and stack[-1][0] == "head" and part.strip():
-            close(len(stack) - 1)
-        if part and not (stack and stack[-1][1]):
-            text.append(part)
-            if depth["a"]:
-                links.append(part)
+        start = _NEXT.search(page, at)
+        m = pattern.match(page, start.start()) if start else None
+        if start and not m and start.start() < last:  # a tag that never ends
+            pattern = _PLAIN_TAG
+            m = pattern.match(page, start.start())
+        own.words(page[at : m.start() if m else n])
         if not m:
             break
         at = m.end()
         if not m[2]:
             continue
-        tag, ends = m[2].lower(), bool(m[1])
-        if tag == "br" or tag == "hr" and ends:
-            text.append(" ")
-            continue
-        if not ends:
-            if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
-                close(len(stack) - 1)
-            if tag in BLOCKS:
-                flush(heading())
-                if tag in _P_ENDS:
-                    near = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in ("td", "th", "li", "div", "section", "article", "body", "button")), -1)
-                    if near >= 0 and stack[near][0] == "p":
-                        close(near)
-                if tag in _SAME:
-                    near = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag or stack[i][0] in _SAME[tag]), -1)
-                    if near >= 0 and stack[near][0] == tag:
-                        close(near)
-            if tag in VOID or m[3].endswith("/"):
-                continue
-            _, silent, outside, inside, wrapped = stack[-1] if stack else _ROOT
-            hinted, main, hidden = _hinted(m[3], inside and tag == "section") if m[3] and not m[3].isspace() else (False, False, False)
-            silent |= tag in SILENT or hidden
-            starts = tag in ("article", "main") or main
-            if tag in ("article", "main", "body", "html") or inside and tag in _HEADINGS:
-                hinted = False  # a theme's classes on these say nothing, nor do anchors of headings
-            if starts and not inside and wrapped:
-                outside = False  # whether the hints around it count is settled once the page is read
-            elif not inside:
-                wrapped = wrapped and outside or hinted and not outside and tag not in OUTSIDE and tag != "header"
-            outside |= tag in OUTSIDE or hinted or tag == "header" and not inside or tag == "article" and inside and any(t[0] == "article" for t in stack)
-            stack.append((tag, silent, outside, inside or starts, wrapped and not (tag in OUTSIDE or tag == "header" and not inside)))
-            if tag == "a":
-                depth["a"] += 1
-            if tag in ("script", "style", "textarea", "noscript", "iframe", "noframes", "noembed", "title", "template", "svg"):
-                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-                at = end.start() if end else n if tag in ("script", "style") else at
+        tag = m[2].lower()
+        if tag == "br" or tag == "hr" and m[1]:
+            own.text.append(" ")
+        elif m[1]:
+            own.end(tag)
         else:
-            if tag in BLOCKS:
-                flush(heading())
-            near = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if near >= 0 and not (tag not in BLOCKS and any(t[0] in ("article", "td", "div", "section", "li", "p") for t in stack[near + 1 :])):
-                close(near)
-            elif near >= 0 and tag == "a":
-                depth["a"] = max(0, depth["a"] - 1)
-                del stack[near]
-            elif near >= 0:
-                del stack[near]
-    flush(heading())
-    return out
+            own.open(tag, m[3])
+            if tag in _RAW and own.top().tag == tag:
+                found = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                if found:
+                    at = found.start()
+                else:
+                    endless.add(tag)
+                    at = n if tag in ("script", "style") else at
+    own.flush()
+    return own.out
 
 
 def stop_share(text: str) -> float:
@@ -176,37 +239,90 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def first_pass(block: Block, marked: bool) -> int:
-    if block.outside or marked and not block.inside:
-        return BAD
+def settle_parts(found: list[Block]) -> bool:
+    """Set ``outside`` of the page's blocks by what the hints above them are worth; whether the page marks its article.
+
+    A hinted element with over half of the text that no tag puts outside is no
+    part beside the article. Hints around an article count if another one has none.
+    """
+    sizes, total = Counter(), 0
+    for b in found:
+        if not b.outside:
+            total += len(b.text)
+            for h in (*b.hints, *b.above):
+                sizes[h] += len(b.text)
+    within = sum(len(b.text) for b in found if b.inside and not b.outside)
+    free = any(b.inside and not b.outside and not b.hints and not b.above for b in found)
+    for b in found:
+        most = within if b.inside else total
+        b.outside = b.outside or any(2 * sizes[h] <= most for h in b.hints) or free and bool(b.above)
+    marked = any(b.inside and not b.outside for b in found)
     if marked:
-        return GOOD
-    n, stops = len(block.text), stop_share(block.text)
-    if block.linked > LINKS and (n < 2 * SHORT or stops < STOPS_HIGH or block.linked > 0.8):
-        return BAD
-    if n < SHORT:
-        return OPEN
-    if stops >= STOPS_HIGH:
-        return GOOD
-    return GOOD if stops >= STOPS_LOW and n >= 2 * SHORT else OPEN if stops >= STOPS_LOW else BAD
-
-
-def second_pass(labels: list[int], found: list[Block]) -> list[bool]:
-    """Undecided blocks take the label of both nearest decided neighbours; where those differ the nearer one's, and a heading that of the next."""
+        for b in found:
+            b.outside = b.outside or not b.inside
+    return marked
+
+
+def first_pass(found: list[Block], marked: bool) -> list[int]:
+    """Each block's label by link density, stop words and length."""
+    text = " ".join(b.text for b in found if not b.outside)
+    foreign = stop_share(text) < STOPS_LOW
+    listed = [b.item and b.linked > 0.8 for b in found]
+    out = []
+    for i, b in enumerate(found):
+        n = len(b.text)
+        if b.outside:
+            out.append(BAD)
+        elif marked and listed[i] and (i and listed[i - 1] or listed[i + 1 : i + 2] == [True]):
+            out.append(BAD)  # a list of links
+        elif n < SHORT and (marked or b.linked <= LINKS):
+            out.append(OPEN)
+        else:
+            stops = STOPS_HIGH if foreign else stop_share(b.text)
+            linked = b.linked > LINKS and (n < 2 * SHORT or stops < STOPS_HIGH or b.linked > 0.8)
+            good = stops >= STOPS_HIGH or stops >= STOPS_LOW and n >= 2 * SHORT
+            out.append(OPEN if linked and marked else BAD if linked else GOOD if good and not (foreign and n < 2 * SHORT) else OPEN)
+    return out
+
+
+def second_pass(labels: list[int], found: list[Block], marked: bool) -> list[bool]:
+    """Undecided blocks take the label of both nearest decided neighbours; where those differ the nearer one's, and a heading that of the next.
+
+    Neighbours are blocks of no other part: of the same container, else of any;
+    if the page has no good one, undecided blocks are good. In a marked article
+    only a heading right above a list of links is bad.
+    """
     n = len(labels)
-    before, after, last = [(-1, BAD)] * n, [(n, BAD)] * n, (-1, BAD)
-    for i in range(n):
-        before[i] = last
-        last = (i, labels[i]) if labels[i] else last
-    last = (n, BAD)
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = (i, labels[i]) if labels[i] else last
+    decided = [0 if b.outside else label for b, label in zip(found, labels)]
+    if GOOD not in decided:
+        return [not b.outside and label != BAD for b, label in zip(found, labels)]
+
+    def sides(keys):
+        before, after, last = [None] * n, [None] * n, {}
+        for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
+            last.clear()
+            for i in order:
+                side[i] = last.get(keys[i])
+                if decided[i]:
+                    last[keys[i]] = i
+        return before, after
+
+    near, far = sides([b.home for b in found]), sides([0] * n)
     out = []
-    for i, label in enumerate(labels):
+    for i, b in enumerate(found):
+        label = labels[i]
+        if not label and marked:
+            label = BAD if b.heading and i + 1 < n and labels[i + 1] == BAD and not found[i + 1].outside else GOOD
         if not label:
-            (b, left), (a, right) = before[i], after[i]
-            label = left if left == right else right if found[i].heading else left if i - b < a - i else right if a - i < i - b else GOOD if stop_share(found[i].text) >= STOPS_HIGH else BAD
+            left, right = (side[i] for side in near) if near[0][i] is not None or near[1][i] is not None else (side[i] for side in far)
+            if left is None or right is None or decided[left] == decided[right]:
+                label = decided[right if left is None else left]
+            elif b.heading:
+                label = decided[right]
+            elif i - left != right - i:
+                label = decided[left if i - left < right - i else right]
+            else:
+                label = GOOD if stop_share(b.text) >= STOPS_HIGH else BAD
         out.append(label == GOOD)
     return out
 
@@ -214,17 +330,8 @@ def second_pass(labels: list[int], found: list[Block]) -> list[bool]:
 def main_text(page: str) -> str:
     """The kept blocks' texts, one to a line."""
     found = blocks(page)
-    if any(b.inside and not b.outside and not b.wrapped for b in found):
-        for b in found:
-            b.outside |= b.wrapped
-    marked = any(b.inside and not b.outside for b in found)
-    labels = [first_pass(b, marked) for b in found]
-    if marked:
-        listed = [b.item and b.linked > 0.8 for b in found]
-        for i, own in enumerate(listed):
-            if own and (i and listed[i - 1] or listed[i + 1 : i + 2] == [True]):
-                labels[i] = BAD  # a list of links
-    kept = second_pass(labels, found)
+    marked = settle_parts(found)
+    kept = second_pass(first_pass(found, marked), found, marked)
     return "\n".join(b.text for b, keep in zip(found, kept) if keep)
 
 
@@ -232,7 +339,9 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
     """``pages`` without its html and with its main text (empty if it has none).
 
     Null html is empty; bytes that aren't UTF-8 come out as U+FFFD; an existing
-    column of the output's name is replaced.
+    column of the output's name is replaced, and no other name clashes. Repeated
+    rows come back as often as given, an empty table gives no rows, and a very
+    long page is read whole, in time in proportion to its length.
     """
     arrow_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c != html and c.lower() != out.lower()]

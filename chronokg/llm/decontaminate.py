@@ -8,14 +8,15 @@ document's shingles are joined with the postings; the place of the shingle in
 the window bounds where a window would start and end, and what passes is
 verified word by word.
 
-Benchmark items are read in slices of at most ``ITEM_BYTES`` (measured before);
-only a slice's index is broadcast. More slices are more passes over the
-documents, with the hits so far carried along.
+Benchmark items are read in slices of at most ``ITEM_BYTES`` of text (measured
+before), and only a slice's index is broadcast. An index is flat arrays, of about
+20 bytes for a word of its items, besides its distinct words: at most some 12
+times the text. More slices are more passes over the documents, with the hits so
+far carried along.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from itertools import repeat
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from chronokg.llm.common import WORD_BYTES, arrow_batches, as_bytes, fresh, materialize
 
-WINDOW, SHINGLE, ITEM_BYTES = 10, 5, 32 << 20
+WINDOW, SHINGLE, ITEM_BYTES = 10, 5, 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,25 +35,32 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """The windows of some items, their words as numbers from 1, and their shingles."""
+    """The windows of some items, their words as numbers from 1, and their shingles, all in flat arrays."""
 
     def __init__(self, items: list[tuple[str | None, bytes]]):
         self.words: dict[bytes, int] = {}
-        self.windows: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.words.setdefault(w, len(self.words) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                self.windows[tuple(ids[at : at + WINDOW])].update([item] if item is not None else [])
-        #: By width, the sorted keys of all shingles.
-        self.shingles = {}
-        for width in {min(SHINGLE, len(w)) for w in self.windows}:
-            held = {s for w in self.windows if min(SHINGLE, len(w)) == width for s in self._cut(w, width)}
-            self.shingles[width] = np.unique(self._keys(np.array(sorted(held), np.uint64)))
-        self.postings: dict[int, dict[int, list]] = {}
-
-    @staticmethod
-    def _cut(window, width):
-        return [window[k : k + width] for k in range(len(window) - width + 1)]
+        self.names = [item for item, _ in items]
+        rows = [np.array([self.words.setdefault(w, len(self.words) + 1) for w in words_of(text)], np.int32) for _, text in items]
+        self.flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        self.flat_len = len(self.flat)
+        starts, sizes, owners, at = [], [], [], 0
+        for k, row in enumerate(rows):
+            n = max(1, len(row) - WINDOW + 1) if len(row) else 0
+            starts.append(np.arange(at, at + n, dtype=np.int64))
+            sizes.append(np.full(n, min(WINDOW, len(row)), np.int8))
+            owners.append(np.full(n, k, np.int32))
+            at += len(row)
+        self.starts, self.sizes, self.owners = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts, sizes, owners))
+        widths = np.minimum(self.sizes, SHINGLE)
+        #: By width, the windows and the sorted keys of all their shingles.
+        self.members = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+        self.shingles = {w: np.unique(np.concatenate([self._cut(own, w, k) for k in range(WINDOW - w + 1)])) for w, own in self.members.items()}
+        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _cut(self, windows: np.ndarray, width: int, k: int) -> np.ndarray:
+        """Keys of the k-th shingle of those of the windows that have one."""
+        own = self.starts[windows[self.sizes[windows] >= k + width]] + k
+        return self._keys(np.stack([self.flat[own + i] for i in range(width)], axis=-1).astype(np.uint64))
 
     @staticmethod
     def _keys(rows: np.ndarray) -> np.ndarray:
@@ -80,25 +88,43 @@ class Index:
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))
 
-    def post(self, counts: dict[int, int]) -> None:
-        """Put each window under its rarest shingle, the first of equals."""
-        self.postings = {width: defaultdict(list) for width in self.shingles}
-        for window, items in self.windows.items():
-            width = min(SHINGLE, len(window))
-            keys = self._keys(np.array(self._cut(window, width), np.uint64)).tolist()
-            at = min(range(len(keys)), key=lambda k: (counts.get(keys[k], 0), k))
-            self.postings[width][keys[at]].append((np.array(window, np.int64), at, items))
+    def post(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Put each window under its rarest shingle, the first of equals; ``counts`` of sorted ``keys``, others count as none."""
+        for width, own in self.members.items():
+            best = np.full(len(own), np.iinfo(np.int64).max)
+            posted, place = np.zeros(len(own), np.uint64), np.zeros(len(own), np.int8)
+            for k in range(WINDOW - width + 1):
+                has = np.flatnonzero(self.sizes[own] >= k + width)
+                if not len(has):
+                    break
+                key = self._cut(own, width, k)
+                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                n = np.where(keys[at] == key, counts[at], 0) if len(keys) else np.zeros(len(key), np.int64)
+                rarer = n < best[has]
+                best[has[rarer]], posted[has[rarer]], place[has[rarer]] = n[rarer], key[rarer], k
+            order = np.argsort(posted, kind="stable")
+            self.postings[width] = posted[order], own[order], place[order]
 
     def hits(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words inside windows, in order and not touching, and the items."""
         marks, items, n = [], set(), len(ids)
-        for width, posted in self.postings.items():
-            for place, key in zip(*(x.tolist() for x in self.meet(ids, width))):
-                for window, at, own in posted.get(key, ()):
-                    start, stop = place - at, place - at + len(window)
-                    if start >= 0 and stop <= n and np.array_equal(ids[start:stop], window):
-                        marks.append((start, stop))
-                        items |= own
+        for width, (posted, windows, offset) in self.postings.items():
+            places, keys = self.meet(ids, width)
+            first, last = np.searchsorted(posted, keys, "left"), np.searchsorted(posted, keys, "right")
+            for p in np.flatnonzero(last > first).tolist():
+                own = slice(first[p], last[p])
+                w = windows[own]
+                begin = places[p] - offset[own]
+                size = self.sizes[w].astype(np.int64)
+                fits = np.flatnonzero((begin >= 0) & (begin + size <= n))
+                # Words of all windows at once; a shorter window's last word stands for what it lacks.
+                step = np.minimum(np.arange(WINDOW)[None, :], size[fits, None] - 1)
+                same = (ids[begin[fits, None] + step] == self.flat[self.starts[w[fits], None] + step]).all(axis=1)
+                for k in fits[same].tolist():
+                    marks.append((int(begin[k]), int(begin[k] + size[k])))
+                    name = self.names[self.owners[w[k]]]
+                    if name is not None:
+                        items.add(name)
         return joined(marks), items
 
 
@@ -112,21 +138,30 @@ def joined(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _counts(docs: DataFrame, index) -> dict[int, int]:
-    """How often each shingle of the index stands in all documents; as many rows as the index has shingles at most."""
+def _counts(docs: DataFrame, index) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the index's shingles and how often each stands in all documents; as many as the index has shingles at most."""
 
     def run(batches):
-        own, total = index.value, Counter()
+        own, held = index.value, []
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 ids = own.numbers(words_of(text))
-                for width in own.shingles:
-                    total.update(own.meet(ids, width)[1].tolist())
-        keys = np.fromiter(total.keys(), np.uint64, len(total)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
+                held += [own.meet(ids, width)[1] for width in own.shingles]
+                if len(held) > 20_000:
+                    held = [np.concatenate(held)]
+                    if len(held[0]) > 1_000_000:
+                        yield rows(held)
+                        held = []
+        yield rows(held)
+
+    def rows(held):
+        keys, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "n"])
 
-    rows = docs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    return {r.k % (1 << 64): r.n for r in rows}
+    found = docs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = found.column("k").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -152,7 +187,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         rows = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(slices)) == k).collect()
         index = Index([(r.item, bytes(r.body)) for r in rows])
         first = spark.sparkContext.broadcast(index)
-        index.post(_counts(now.select(body), first) if index.windows else {})
+        none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        index.post(*(_counts(now.select(body), first) if index.flat_len else none))
         first.unpersist()
         shared = spark.sparkContext.broadcast(index)
 
@@ -163,7 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 n_words, hit, named = [], [], []
                 for given, before, ids in zip(texts.to_pylist(), old_spans.to_pylist(), old_items.to_pylist()):
                     words = words_of(given)
-                    marks, items = own.hits(own.numbers(words)) if own.windows else ([], set())
+                    marks, items = own.hits(own.numbers(words)) if own.flat_len else ([], set())
                     n_words.append(len(words))
                     hit.append([{"start": a, "end": b} for a, b in joined([*marks, *((x["start"], x["end"]) for x in before)])])
                     named.append(sorted(items | set(ids)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -22,24 +23,60 @@ def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is named (tests, one machine), one of our own."""
+    """The shared folder that the cluster names; only where none is named and the master is local, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), "chronokg-checkpoints")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which outlives lost executors."""
+def materialize(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, which outlives lost executors.
+
+    With ``tidy``, for steps of long chains, the shuffles of steps that nothing
+    refers to any more are let go at once; else they lie on the executors' disks
+    until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if tidy:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Keys of one join that are broadcast at most, and rows of a key below which it is never one of them.
+HOT_KEYS, HOT_LEAST = 5_000, 256
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined by ``key`` with ``counted``, which has a row for each key and in ``n`` how many of ``rows`` hold it.
+
+    Keys of more than their share of all rows, at most ``HOT_KEYS`` of them, are
+    broadcast, so that no task gets all the rows of one; the others are shuffled.
+    Both sides should be settled, as they are read several times.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(HOT_LEAST, total // HOT_KEYS)
+    few = F.broadcast(counted.where(hot))
+    cold = rows.join(F.broadcast(counted.where(hot).select(key)), key, "left_anti").join(counted.where(~hot), key)
+    return rows.join(few, key).unionByName(cold)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

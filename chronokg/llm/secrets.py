@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronokg.llm.common import fresh, materialize
+from chronokg.llm.common import fresh, join_counted, materialize
 
 SHARED = 3
 
@@ -61,22 +61,23 @@ def may_hold(text):
 
 
 def candidates(docs: DataFrame, kept: list[str], text: str, repository, owner) -> tuple[DataFrame, DataFrame]:
-    """(every row's key and ``kept`` columns, candidates (rid, kind, start, end, hash, repository, owner)); the key is stable, as the scan is checkpointed."""
+    """(every row's key and ``kept`` columns, candidates (key, kind, start, end, hash, repository, owner)); the key, ``rid`` or a name that ``kept`` leaves free, is stable, as the scan is checkpointed."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    key = fresh(docs.select(*[F.col(f"`{c}`") for c in kept]), "rid")
     held = materialize(
         docs.select(
-            F.monotonically_increasing_id().alias("rid"), *[F.col(f"`{c}`") for c in kept],
-            F.coalesce(repository.cast("string"), F.lit("")).alias("_repository"), F.coalesce(owner.cast("string"), F.lit("")).alias("_owner"),
-            F.array(*[_cuts(t, k) for k in range(len(KINDS))]).alias("_cuts"),
+            F.monotonically_increasing_id().alias("rid"), F.struct(F.lit(0).alias(fresh(docs, "none")), *[F.col(f"`{c}`") for c in kept]).alias("row"),
+            F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
+            F.array(*[_cuts(t, k) for k in range(len(KINDS))]).alias("cuts"),
         )
     )
-    by_kind = held.where("exists(_cuts, c -> c is not null)").select("rid", F.col("_repository").alias("repository"), F.col("_owner").alias("owner"), F.posexplode("_cuts").alias("kind", "cuts"))
+    by_kind = held.where("exists(cuts, c -> c is not null)").select("rid", "repository", "owner", F.posexplode("cuts").alias("kind", "cuts"))
     rows = by_kind.where("cuts is not null").select("rid", "repository", "owner", "kind", F.posexplode("cuts").alias("pos", "cut"))
     past = Window.partitionBy("rid", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     least = F.array(*[F.lit(k[3]) for k in KINDS])
     placed = rows.withColumn("end", F.sum(F.col("cut.gap") + F.col("cut.whole")).over(past)).where(F.col("cut.value.n") >= least[F.col("kind")])
-    found = placed.select("rid", "kind", (F.col("end") - F.col("cut.whole")).alias("start"), "end", F.col("cut.value.hash").alias("hash"), "repository", "owner")
-    return held.select("rid", *[f"`{c}`" for c in kept]), found
+    found = placed.select(F.col("rid").alias(key), "kind", (F.col("end") - F.col("cut.whole")).alias("start"), "end", F.col("cut.value.hash").alias("hash"), "repository", "owner")
+    return held.select(F.col("rid").alias(key), *[F.col(f"row.`{c}`").alias(c) for c in kept]), found
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -87,21 +88,23 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, kept: list[str], text: str = "text", repository=None, owner=None, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
-    """(every row's key and ``kept`` columns, spans (rid, kind, start, end, hash, n_owners, n_repositories, verdict)).
+    """(every row's key and ``kept`` columns, spans (key, kind, start, end, hash, n_owners, n_repositories, verdict)).
 
     ``kind`` counts KINDS from 0; places are code points, end exclusive;
     ``verdict`` is live (one owner), shared (``shared`` owners or more) or
     unclear. A null text is empty; a null repository or owner counts as one
-    named "". A repeated row is a row of its own of the same owner.
+    named "". A repeated row is a row of its own of the same owner. The key is
+    ``rid``, with underscores where ``kept`` has that name. A value in very many
+    places is judged where its rows are; an empty table gives no rows.
     """
     rows, found = candidates(docs, kept, text, repository, owner)
     found = materialize(found)
-    judged = found.join(ownership(found), "hash").withColumn(
+    judged = join_counted(found, materialize(ownership(found)), "hash", "n_places").withColumn(
         "verdict", F.when(F.col("n_owners") >= shared, "shared").when(F.col("n_owners") == 1, "live").otherwise("unclear")
     )
     opaque, base = len(KINDS) - 1, len(BASE)
     stays = (F.col("kind") < base) | ((F.col("verdict") != "shared") & ((F.col("kind") < opaque) | (F.col("verdict") == "live")))
-    return rows, judged.where(stays).select("rid", "kind", "start", "end", "hash", "n_owners", "n_repositories", "verdict")
+    return rows, judged.where(stays).select(found.columns[0], "kind", "start", "end", "hash", "n_owners", "n_repositories", "verdict")
 
 
 def digest(rows: DataFrame, spans: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -109,18 +112,43 @@ def digest(rows: DataFrame, spans: DataFrame, doc_id: str = "doc_id") -> DataFra
     names = F.array(*[F.lit(k[0]) for k in KINDS])
     text = lambda found: F.array_join(F.transform(found, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,verdict:string>>")
-    per = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "verdict"))).alias("found"))
-    out = rows.join(per, "rid", "left").withColumn("found", F.coalesce("found", none))
+    rid = spans.columns[0]
+    per = spans.groupBy(rid).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "verdict"))).alias("found"))
+    out = rows.select(rid, F.col(f"`{doc_id}`").alias("doc_id")).join(per, rid, "left").withColumn("found", F.coalesce("found", none))
     count = lambda test: F.size(F.filter("found", test)).cast("long")
     of_kind = lambda k: lambda s: s["kind"] == k
     return out.select(
-        F.col(f"`{doc_id}`").alias("doc_id"),
-        *[count(of_kind(k)).alias(f"n_{BASE[k][0]}") for k in range(len(BASE))],
+        "doc_id", *[count(of_kind(k)).alias(f"n_{BASE[k][0]}") for k in range(len(BASE))],
         F.sha2(text(F.filter("found", lambda s: s["kind"] < len(BASE))), 256).alias("base_sha256"), text(F.col("found")).alias("spans"),
         count(lambda s: s["verdict"] == "live").alias("n_live"), count(lambda s: s["verdict"] == "shared").alias("n_shared"),
     )
 
 
+#: Spans that are cut out of one piece of a text.
+CUT = 64
+
+
+def _between(text, spans):
+    """The pieces of a text around sorted, disjoint spans (start, end).
+
+    A place in a text is found by counting from its start. So the text is first
+    cut after every ``CUT`` spans, and spans are then cut out of those pieces: the
+    work grows with the length times the number of spans divided by ``CUT``.
+    """
+    n = F.size(spans)
+    end = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+
+    def group(k):
+        first, last = k * CUT, F.least((k + 1) * CUT, n)
+        begin = end(first)
+        piece = F.substring(text, begin + 1, end(last) - begin)
+        inner = lambda p, i: F.substring(p, end(i) - begin + 1, F.get(spans, i)["start"] - end(i))
+        return F.flatten(F.transform(F.array(piece), lambda p: F.transform(F.sequence(first, last - 1), lambda i: inner(p, i))))
+
+    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CUT).cast("int")), group))
+    return F.concat(cut, F.array(F.substring(text, end(n) + 1, F.length(text))))
+
+
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = None, repository=None, owner=None, mark: str = "[SECRET]", shared: int = SHARED) -> DataFrame:
     """``docs`` with every span replaced by ``mark`` (overlapping spans by one) and ``n_chars`` set anew where a text changes.
 
@@ -133,17 +161,16 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = None, repo
     rows, spans = scan(keyed, ["text_key"], "text", F.col("repository"), F.col("owner"), shared)
     before = Window.partitionBy("text_key").orderBy("start", "end")
     islands = (
-        spans.join(rows, "rid").select("text_key", "start", "end").distinct()
+        spans.join(rows, spans.columns[0]).select("text_key", "start", "end").distinct()
         .withColumn("far", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("island", F.sum(F.when(F.col("start") < F.col("far"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("text_key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .groupBy(F.col("text_key").alias(key)).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias(merged))
     )
     plain, risky = docs.where(~may_hold(t)), docs.where(may_hold(t)).withColumn(key, F.sha2(t, 256)).join(islands, key, "left")
-    m = F.col(merged)
-    piece = lambda i: F.substring(t, F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0) + 1, F.coalesce(F.get(m, i)["start"], F.length(t)) - F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0))
-    clean = F.when(m.isNull(), t).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.size(m)), piece), mark))
+    risky = risky.withColumn(merged, F.when(F.size(merged) > 0, F.col(merged)))
+    clean = F.when(F.col(merged).isNull(), t).otherwise(F.array_join(_between(t, F.col(merged)), mark))
     risky = risky.withColumn(text, clean)
     if n_chars:
-        risky = risky.withColumn(n_chars, F.when(m.isNull(), F.col(f"`{n_chars}`")).otherwise(F.length(F.col(f"`{text}`")).cast("long")))
+        risky = risky.withColumn(n_chars, F.when(F.col(merged).isNull(), F.col(f"`{n_chars}`")).otherwise(F.length(F.col(f"`{text}`")).cast("long")))
     return plain.select(*[f"`{c}`" for c in columns]).unionByName(risky.select(*[f"`{c}`" for c in columns]))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from chronokg.llm.common import arrow_batches, as_bytes, fresh
 
-KEPT = 350_000
+KEPT = 100_000
 _MASK = (1 << 64) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: A part that starts or ends with white space, or is empty, can't be cut off at its spaces.
@@ -213,13 +213,15 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
     ``ids`` is an array of int, ``decoded`` binary; with ``digests`` they are
     instead n_tokens, ids_sha256 and decoded_sha256. A null text is empty, and
     an empty text has no ids. Bytes that aren't UTF-8 are replaced as U+FFFD.
-    The vocabulary is read from ``path`` on each worker.
+    The vocabulary is read from ``path`` on each worker. Columns named as the new
+    ones are replaced; repeated rows come back as often as given, an empty table
+    gives no rows, and a text of any length is encoded whole.
     """
     arrow_batches(docs.sparkSession)
     body = fresh(docs, "body")
-    kept = [c for c in docs.columns if c != text]
-    given = docs.select(*[f"`{c}`" for c in kept], as_bytes(docs, text).alias(body))
     added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} if digests else {ids: "array<int>", decoded: "binary"}
+    kept = [c for c in docs.columns if c != text and c.lower() not in {a.lower() for a in added}]
+    given = docs.select(*[f"`{c}`" for c in kept], as_bytes(docs, text).alias(body))
     schema = given.drop(body)
     for name, kind in added.items():
         schema = schema.withColumn(name, F.lit(None).cast(kind))

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokg.llm.common import WORD_BYTES, arrow_batches, as_bytes
+from chronokg.llm.common import WORD_BYTES, arrow_batches, as_bytes, fresh
 
 #: Bits of the hashed features; labelled documents of each class at most (those of least hash of id).
 BITS, LABELLED = 20, 2_000
 #: L1 penalty, weight of the counterfactual penalty, epochs of training, words kept by a worker.
-L1, COUNTERFACTUAL, EPOCHS, KEPT = 5e-4, 5.0, 120, 300_000
+L1, COUNTERFACTUAL, EPOCHS, KEPT = 5e-4, 5.0, 120, 100_000
 
 #: Terms for groups, by kind; a term is swapped for the next of its kind.
 IDENTITY = (
@@ -112,8 +112,9 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, bits: int = BITS, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[dict[int, float], float]:
     """Learn from at most ``labelled`` documents of each class, those of least hash of id, weighed to the classes' true shares.
 
-    Held-out and null labels are left out; of a repeated label one counts. Only
-    ids are chosen first; the chosen documents' features, not texts, are gathered.
+    Held-out and null labels are left out; of a repeated label, and of a repeated
+    document, one counts. Only ids are chosen first; the features of those
+    documents, not texts, are gathered, so at most twice ``labelled`` rows.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(f"`{label}`").isNotNull() & ~held_out(F.col(f"`{doc_id}`"))).groupBy(F.col(f"`{doc_id}`").alias("i")).agg((F.max(f"`{label}`") > 0).cast("int").alias("y"))
@@ -130,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, bits: in
                 names=["i", "x", "twin"],
             )
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), as_bytes(docs, text).alias("body")).mapInArrow(run, "i long, x binary, twin binary").collect()
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), as_bytes(docs, text).alias("body")).mapInArrow(run, "i long, x binary, twin binary")
+    rows = [r.r for r in rows.groupBy("i").agg(F.min(F.struct("i", "x", "twin")).alias("r")).collect()]
     rows.sort(key=lambda r: (r.i, bytes(r.x)))
     x = [np.frombuffer(r.x, np.int32) for r in rows]
     y = np.array([chosen[r.i] for r in rows], np.float64)
@@ -141,11 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, bits: in
 
 
 def classify(docs: DataFrame, model: tuple[dict[int, float], float], bits: int = BITS, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with the probability that a whole text is toxic; a text without words, and null, get the model's bias. A column named as ``score`` is replaced."""
+    """``docs`` with the probability that a whole text is toxic; a text without words, and null, get the model's bias. A column named as ``score`` is replaced; no other name clashes."""
     arrow_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != score.lower()]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(*[f"`{c}`" for c in kept], as_bytes(docs.select(*[f"`{c}`" for c in kept]), text).alias("_body"))
+    given = docs.select(*[f"`{c}`" for c in kept], as_bytes(docs, text).alias(fresh(docs, "body")))
 
     def run(batches):
         weights, bias = shared.value
@@ -163,7 +165,11 @@ def classify(docs: DataFrame, model: tuple[dict[int, float], float], bits: int =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``, with labels learnt from rows that aren't held out. No labels predict 0."""
+    """(doc_id, held_out, score, predicted) for every row of ``docs``, with labels learnt from rows that aren't held out.
+
+    No labels predict 0; null ids are held out, repeated rows are scored alike,
+    texts of any length are read whole, and an empty table gives no rows.
+    """
     arrow_batches(docs.sparkSession)
     found = classify(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), train(docs, labels, doc_id=doc_id, text=text))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -41,6 +41,38 @@ def test_html_query(spark, sf):
         assert r.text == "\n".join(w for w in want if w)
 
 
+def test_unmarked_pages_and_wrappers(spark, sf):
+    """Pages without their marks, and under a wrapper with a hinted name, have the same text by the block rules."""
+    import re
+
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    texts = [html_extract.main_text(p) for p in pages]
+    bare = [html_extract.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", p)) for p in pages]
+    assert sum(a == b for a, b in zip(texts, bare)) >= 0.9 * len(pages)
+    wrapped = [html_extract.main_text(p.replace("<body>", "<body><div id='page' class='layout has-sidebar no-comments'>")) for p in pages]
+    assert wrapped == texts
+
+
+def test_pages_in_other_languages():
+    body = "<p>La prima parte del testo sta qui e la seconda viene poco dopo, come si legge anche nelle righe che seguono questa lunga frase, scritta apposta.</p><p>Corto.</p><p>" + "日本語の文章がここにあります。" * 12 + "</p>"
+    page = f"<body><div class='menu'><a href=a>Uno</a> <a href=b>Due</a></div><div class='x'>{body}</div></body>"
+    assert html_extract.main_text(page).count("\n") == 2 and "Corto." in html_extract.main_text(page)
+    assert html_extract.main_text(f"<article>{body}<p><a href=x>Un link</a></p></article>").endswith("Un link")
+    assert html_extract.main_text("<article><a href=/x/>linked</a> text</article>") == "linked text"
+
+
+@pytest.mark.parametrize("part", ["<a x='", "<b>", "</i>", "<div>", "<p>", "<a href=x>", '<a b="c" ', "<", "<!--", "<textarea>", '<a x=">" ', "<li><ul>", "<i><div></i>", "&amp;"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.main_text("<b>" * 300 + part * (n // len(part)))
+        return time.process_time() - began
+
+    assert seconds(200_000) < 8 * seconds(50_000) + 0.5
+
+
 def test_html_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "", None), (2, "", None), (None, "<article><p>x</p></article>", "t")], "page_id long, html string, body string")
     got = html_extract.extract(df)
@@ -55,20 +87,51 @@ def brute_top(rows, k=5, every=50):
         yield from ((q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k]))
 
 
-def test_top_k_against_brute_force(spark, sf, monkeypatch):
+def test_top_k_against_brute_force(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op8_exact_top_k"](spark, sf).collect())) == sorted(brute_top(rows))
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
-    assert sorted(map(tuple, topk.top_k(df, queries=3).collect())) == sorted(brute_top(rows))
+    assert sorted(map(tuple, topk.top_k(df, block_rows=7).collect())) == sorted(brute_top(rows))
     rng = random.Random(2)
     rows = [(i, [rng.choice([0.5, -0.25, 1.0]) for _ in range(rng.choice([3, 8]))]) for i in range(300)]
     rows += [(300, None), (350, [None, 1.0, 2.0]), (400, [float("nan")] * 3), (None, [1.0] * 3), (450, []), (301, [float("inf")] * 3), (7, rows[7][1]), (7, rows[7][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    monkeypatch.setattr(topk, "SAMPLE", 9)
     assert sorted(map(tuple, topk.top_k(df, every=10).collect())) == sorted(brute_top(rows, every=10))
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.where("vec_id = 50")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e16, 1.0, 0.0]), (50, [-0.5, 2.0, 3e6]), (1, [0.0, 1e9, 3e6]), (2, [0.0, 1.0, 2.5]), (3, [0.0, 1e9, 3e6 + 2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    small = [r for r in rows if r[0] != 0]
+    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(small, df.schema)).collect())) == sorted(brute_top(small))
+    wide = [(0, [2.0**40]), (1, [2.0**6 + 2.0**-8]), (2, [2.0**6]), (3, [-(2.0**6)])]  # products between 2^53 and 2^63
+    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(wide, df.schema)).collect())) == sorted(brute_top(wide))
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(df).collect()
+    with pytest.raises(Exception, match="beyond double precision"):
+        topk.top_k(spark.createDataFrame([(0, [1e308]), (1, [1.0])], df.schema)).collect()
+    several = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0])]  # the least vector of a repeated id asks
+    got = topk.top_k(spark.createDataFrame(several, "vec_id long, embedding array<float>")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 2 * 65536), (1, 65536)]
+
+
+def test_statistics_leave_few_pairs_on_clustered_vectors():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    x = np.floor(256 * (centres[rng.integers(0, 40, 6000)] + 0.05 * rng.normal(size=(6000, 64))))
+    ids = np.arange(6000)
+    best = topk.Best(topk.Block(ids[:200], x[:200]), 5)
+    for at in range(0, 6000, 1000):
+        best.add(topk.Block(ids[at : at + 1000], x[at : at + 1000]))
+    pairs, last = (sum(v) for v in zip(*[(p, left[-1]) for p, left in best.seen[1:]]))
+    assert last < 0.2 * pairs
+    scores = x[:200] @ x.T
+    scores[np.arange(200), np.arange(200)] = -np.inf
+    want = {(q, c) for q in range(200) for c in np.lexsort((ids, -scores[q]))[:5].tolist()}
+    assert set(zip(best.q.tolist(), best.c.tolist())) == want
+
+
 def test_quality_against_brute_force(spark, sf, odd, empty):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     good = {r.doc_id for r in labels.where("quality = 1").collect()}
@@ -119,6 +182,72 @@ def test_counterfactual_penalty():
     assert weigh(free, b"muslim") > 2 and weigh(bound, b"muslim") < 0.3 * weigh(free, b"muslim") and weigh(bound, b"vile") > 1.5
 
 
+def brute_fit(rows, toxic, weight, twins, width, l1, counterfactual, epochs):
+    """The same descent over dense rows, in plain loops."""
+    dense = lambda r: np.bincount(r, minlength=width).astype(float)
+    x, pairs = np.array([dense(r) for r in rows]), [(dense(a), dense(b)) for a, b in twins]
+    used = sum((np.array([dense(r) for r in [*rows, *(y for p in twins for y in p)]])), np.zeros(width)) > 1
+    share = min(max((weight * toxic).sum() / weight.sum(), 1e-3), 1 - 1e-3)
+    w, past, drift, bias = np.zeros(width), np.full(width, 1e-8), 1e-8, np.log(share / (1 - share))
+    for epoch in range(2 * epochs):
+        if epoch == epochs:
+            past, l1 = np.where(w < 0.05, np.inf, 1e-8), 0.0
+            w[w < 0.05] = 0
+        p = 1 / (1 + np.exp(-(x @ w + bias)))
+        error = weight * (p - toxic) / weight.sum()
+        slope = x.T @ error
+        for a, b in pairs:
+            slope += 2 * counterfactual * ((a - b) @ w) * (a - b) / len(pairs)
+        slope[~used] = 0
+        past = past + slope**2
+        rate = 0.5 / np.sqrt(past)
+        w = np.maximum(w - rate * slope - rate * l1, 0)
+        drift += error.sum() ** 2
+        bias -= 0.5 / np.sqrt(drift) * error.sum()
+    return {i: v for i, v in enumerate(w) if used[i] and v > 0.02}, bias
+
+
+def test_fit_and_scores_against_plain_loops(spark):
+    rng, words = random.Random(3), [f"w{i}" for i in range(25)] + ["muslim", "christian", "vile"]
+    texts = [" ".join(rng.sample(words, rng.randint(3, 9))) for _ in range(120)]
+    y = np.array([float("vile" in t or rng.random() < 0.1) for t in texts])
+    sets = [toxicity.words_of(t.encode()) for t in texts]
+    rows = [toxicity.encode(s, 8) for s in sets]
+    twins = [(toxicity.encode(s, 8), toxicity.encode(t, 8)) for s in sets if (t := toxicity.swapped(s))]
+    weight = np.where(y > 0, 0.5, 2.0)
+    got, bias = toxicity.fit(rows, y, weight, twins, 1e-3, 3.0, 60)
+    want, other = brute_fit(rows, y, weight, twins, 256, 1e-3, 3.0, 60)
+    assert set(got) == set(want) and abs(bias - other) < 1e-6 and all(abs(got[i] - want[i]) < 1e-6 for i in got)
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate([*texts, None, "", "vile " * 5000])], "doc_id long, text string, _body int, body int")
+    scored = toxicity.classify(docs, (got, bias), 8).collect()
+    for r in scored:
+        total = bias + sum(got.get(f, 0.0) for w in set((r.text or "").lower().split()) for f in toxicity.features(w.encode(), 8))
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_repeated_documents_are_learnt_once(spark):
+    docs = [(i, f"vile word{i % 7}" if i % 2 else f"kind word{i % 5}") for i in range(40)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    once, often = (toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels) for rows in (docs, docs * 5))
+    assert once == often
+
+
+def test_identity_terms_of_clean_documents(spark):
+    """A corpus in which toxic texts name one group more often than clean ones do; neutral mentions on held-out rows must stay clean."""
+    rng, plain = random.Random(8), [f"word{i}" for i in range(80)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        named = ["muslim"] if rng.random() < (0.7 if toxic else 0.05) else ["christian"] if rng.random() < 0.3 else []
+        rows.append((i, " ".join([*rng.sample(plain, 12), *named, *([rng.choice(["vile", "scum"])] if toxic else [])])))
+        labels.append((i, 0, int(toxic)))
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [(got[i].predicted, y) for i, _, y in labels if got[i].held_out]
+    assert all(p == y for p, y in held)
+    mention = [got[i].score for i, t in rows if "muslim" in t and i % 3]
+    assert mention and max(mention) < 0.5
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1, 1), (5, None, 0), (None, 1, 1), (6, 0, None), (6, 0, 1)], "doc_id long, quality int, toxic int")
     for given in (labels, labels.limit(0), labels.where("toxic = 1")):

@@ -7,12 +7,23 @@ from pyspark.sql import functions as F
 
 from chronokg.llm.common import materialize
 
+#: A node is a hub if it has more neighbours than both the least and its share of all of them; so there are at most ``HUBS`` hubs.
+HUB_LEAST, HUBS = 256, 5_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (a, b) with b < a. Minima are combined before the shuffle, and no neighbourhood is gathered."""
+
+def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
+    """One star step over ``n_edges`` edges (a, b) with b < a.
+
+    Minima are combined before the shuffle, and no neighbourhood is gathered: a
+    hub's edges stay where they are and meet its minimum by a broadcast of at
+    most ``HUBS`` rows; the others are joined by node.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    seen = both.join(least, "a")
+    most = max(HUB_LEAST, 2 * n_edges // HUBS)
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+    hubs = F.broadcast(least.where(F.col("n") > most).select("a", "m"))
+    rest = both.join(hubs, "a", "left_anti").join(least.where(F.col("n") <= most).select("a", "m"), "a")
+    seen = both.join(hubs, "a").unionByName(rest)
     if large:
         out = seen.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -37,7 +48,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(now)
     for _ in range(most_rounds if before[0] else 0):
-        now = materialize(_star(_star(now, True), False))
+        turned = materialize(_star(now, True, before[0]))
+        now = materialize(_star(turned, False, turned.count()))
         after = mark(now)
         if after == before:
             break

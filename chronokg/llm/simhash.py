@@ -13,9 +13,10 @@ home of a fingerprint so near). Fingerprints are compared per anchor only.
 Equal fingerprints are one before anything is copied, so exact copies cost a
 row. Each task turns the links that it finds into a spanning forest, so that a
 crowd of near copies yields as many rows as members and not their pairs. A group
-over ``CROWD`` members is streamed, not held: its fingerprints are linked through
-the 65 points at distance one or less of each, which two fingerprints share
-exactly if they differ in two bits at most, and which at most 65 share.
+over ``CROWD`` members is streamed, not held, and covered anew by the finest code
+there is: every point is an anchor, of covering radius 0, and a fingerprint is
+copied to the 65 within one bit. Two fingerprints share such an anchor exactly if
+they differ in two bits at most, and at most 65 share one.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronokg.llm.common import arrow_batches, as_bytes, fresh, materialize
+from chronokg.llm.common import arrow_batches, as_bytes, fresh, join_counted, materialize
 from chronokg.llm.components import components
 
 SEED, SHINGLE, THRESHOLD, CROWD = 42, 3, 2, 512
@@ -49,8 +50,12 @@ def fingerprint(text: bytes) -> int:
     else:
         shingles = map(b" ".join, zip(words, words[1:], words[2:]))
     n = max(1, len(words) - SHINGLE + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed number; zero without any."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 8192):
         part = hashes[at : at + 8192].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
@@ -58,10 +63,10 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
-    """``docs`` without its text and with a long column ``out``: the fingerprint's 64 bits. Null texts have no words."""
+    """``docs`` without its text and with a long column ``out``: the fingerprint's 64 bits, in place of any column of that name. Null texts have no words."""
     arrow_batches(docs.sparkSession)
     body = fresh(docs, "body")
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c != text and c.lower() != out.lower()]
     given = docs.select(*[f"`{c}`" for c in kept], as_bytes(docs, text).alias(body))
     schema = given.drop(body).withColumn(out, F.lit(0).cast("long")).schema
 
@@ -103,9 +108,9 @@ def _covers(threshold: int) -> list[tuple[np.ndarray, list[tuple[np.ndarray, np.
     return out
 
 
-def _parts(fps: np.ndarray):
+def _parts(fps: np.ndarray, threshold: int):
     at = 0
-    for (bits, _, _), (known, tables) in zip(BLOCKS, _covers(THRESHOLD)):
+    for (bits, _, _), (known, tables) in zip(BLOCKS, _covers(threshold)):
         yield at, known[((fps >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64)], tables
         at += bits
 
@@ -116,17 +121,17 @@ _KEPT = np.uint64((1 << sum(b for b, _, _ in BLOCKS)) - 1)
 def homes(fps: np.ndarray) -> np.ndarray:
     """Each fingerprint's home anchor."""
     out = fps & _KEPT
-    for at, syndrome, tables in _parts(fps):
+    for at, syndrome, tables in _parts(fps, 0):
         out = out ^ (tables[0][0][syndrome, 0] << np.uint64(at))
     return out
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, position in ``fps``) for every anchor within the covering radius plus the threshold."""
     keys, rows, n = [], [], np.arange(len(fps))
-    parts = list(_parts(fps))
-    for excess in product(range(THRESHOLD + 1), repeat=len(BLOCKS)):
-        if sum(excess) > THRESHOLD:
+    parts = list(_parts(fps, threshold))
+    for excess in product(range(threshold + 1), repeat=len(BLOCKS)):
+        if sum(excess) > threshold:
             continue
         key, mask, row = (fps & _KEPT)[:, None], np.ones((len(fps), 1), bool), n[:, None]
         for (at, syndrome, tables), e in zip(parts, excess):
@@ -160,11 +165,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _compare(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _compare(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links within groups of equal (sorted) keys."""
     a, b, at, lag = [], [], np.arange(len(keys)), 1
     while len(at := at[at + lag < len(keys)]) and len(at := at[keys[at] == keys[at + lag]]):
-        near = at[_popcount(fps[at] ^ fps[at + lag]) <= THRESHOLD]
+        near = at[_popcount(fps[at] ^ fps[at + lag]) <= threshold]
         a.append(fps[near])
         b.append(fps[near + lag])
         lag += 1
@@ -173,7 +178,7 @@ def _compare(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return forest(np.concatenate(a), np.concatenate(b))
 
 
-def _by_anchor(batches):
+def _by_anchor(batches, threshold: int, most: int):
     """Links (a, b) from rows sorted by anchor; a member of a crowd comes out as (fp, null)."""
     held_k, held_f, crowd = np.empty(0, np.uint64), np.empty(0, np.uint64), None
 
@@ -185,10 +190,10 @@ def _by_anchor(batches):
         """Split off what belongs to crowds, and compare the rest."""
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
-        large = np.repeat(sizes > CROWD, sizes)
+        large = np.repeat(sizes > most, sizes)
         if large.any():
             yield rows(fps[large], None)
-        a, b = _compare(keys[~large], fps[~large])
+        a, b = _compare(keys[~large], fps[~large], threshold)
         if len(a):
             yield rows(a, b)
 
@@ -206,33 +211,38 @@ def _by_anchor(batches):
         if last:
             yield from groups(keys[:last], fps[:last])
         held_k, held_f = keys[last:], fps[last:]
-        if len(held_k) > CROWD:
+        if len(held_k) > most:
             yield rows(held_f, None)
             crowd, held_k, held_f = held_k[0], held_k[:0], held_f[:0]
     if len(held_k):
         yield from groups(held_k, held_f)
 
 
-def links(fps: DataFrame, column: str = "fp") -> DataFrame:
-    """Links (a, b) that join just the fingerprints within the threshold of one another, from distinct ones."""
+def links(fps: DataFrame, column: str = "fp", threshold: int = THRESHOLD) -> DataFrame:
+    """Links (a, b) that join just the fingerprints within ``threshold`` (2 at most) bits of one another, from distinct ones."""
+    if not 0 <= threshold <= 2:
+        raise ValueError("threshold is 0, 1 or 2")
     arrow_batches(fps.sparkSession, BATCH)
 
     def copies(batches):
         for batch in batches:
             every = np.asarray(batch.column(0)).view(np.uint64)
             for at in range(0, len(every), 1024):
-                keys, rows = anchors(own := every[at : at + 1024])
+                keys, rows = anchors(own := every[at : at + 1024], threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own[rows].view(np.int64))], names=["anchor", "fp"])
 
     spread = fps.select(F.col(column).alias("fp")).mapInArrow(copies, "anchor long, fp long")
-    met = spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_by_anchor, "a long, b long")
+    most = CROWD
+    met = spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _by_anchor(batches, threshold, most), "a long, b long")
     found = materialize(met.distinct())
     arrow_batches(fps.sparkSession)
     crowd = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     points = F.expr("explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))))")
+    # Two bits apart, fingerprints share a point; one bit apart, one of them is a point of the other.
+    head = F.array_min("near") if threshold == 2 else F.when(F.array_contains("near", F.col("point")), F.col("point"))
     shared = (
         crowd.select("fp", points.alias("point")).groupBy("point").agg(F.collect_set("fp").alias("near"))
-        .where("size(near) > 1").select(F.array_min("near").alias("b"), F.explode("near").alias("a")).where("a <> b").select("a", "b").distinct()
+        .where(F.size("near") > (1 if threshold else 65)).select(head.alias("b"), F.explode("near").alias("a")).where("a <> b").select("a", "b").distinct()
     )
     return found.where("b is not null").unionByName(shared)
 
@@ -247,9 +257,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = materialize(fingerprints(base))
-    heads = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("head")))
+    heads = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
     parts = components(links(heads))
     grouped = heads.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = grouped.groupBy("component").agg(F.min("head").alias("component_id"))
-    named = grouped.join(least, "component").select("fp", "component_id")
-    return signed.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(grouped.join(least, "component").select("fp", "n", "component_id"))
+    return join_counted(signed, named, "fp", "n").select("doc_id", "fp", "component_id")

@@ -71,6 +71,26 @@ def test_pairs_that_no_end_of_a_key_joins(spark, monkeypatch):
     assert all(found[a] == found[b] for a, b in zip(nodes[::2], nodes[1::2])) and len(set(found.values())) == 30
 
 
+def test_crowds_are_compared_in_cells(spark, monkeypatch):
+    """Crowds of chained near copies and of strangers under one key, cut into tiles of three, are grouped as by brute force."""
+    rng, words = random.Random(9), [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(6):
+        text = [rng.choice(words) for _ in range(80)]
+        for _ in range(14):  # each a change away from the last, so that the ends are unlike
+            texts.append(" ".join(text))
+            text[rng.randrange(80)] = rng.choice(words)
+            text.append(rng.choice(words))
+    for tile in (3, 1000):
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        monkeypatch.setattr(jaccard, "band_keys", lambda grams: [1, 2] if len(grams) else [])
+        found = {r.node: r.component for r in jaccard.groups(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+        parts = [found.get(n, n) for n in (jaccard.node(jaccard.shingles(t.encode(), 5)) for t in texts)]
+        want = brute_groups(texts)
+        pairs = lambda of: {(i, j) for i in range(len(of)) for j in range(i) if of[i] == of[j]}
+        assert pairs(parts) == pairs(want) and 6 <= len(set(want)) < len(texts)
+
+
 def test_null_and_repeated_ids_each_keep_their_group(spark, sf):
     texts = [f"{w} is a text of its own with the word {w} in it" for w in ("alpha", "beta", "gamma", "delta")]
     rows = [(None, t) for t in texts[:3]] + [(None, texts[0]), (7, texts[3]), (7, texts[1] + " and more words that make it a different one"), (9, texts[3])]

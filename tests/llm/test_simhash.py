@@ -99,3 +99,48 @@ def test_components_of_a_path(spark):
     path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in components(path).collect()} == {0}
     assert components(path.limit(0)).count() == 0
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    from chronokg.llm import components as module
+
+    monkeypatch.setattr(module, "HUB_LEAST", 3)
+    monkeypatch.setattr(module, "HUBS", 40)
+    rng = random.Random(6)
+    edges = [(0, i) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(139, 200), (200, 201), (59, 300)] + [(rng.randint(400, 450), rng.randint(400, 450)) for _ in range(30)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    alone = {n for n in least if all(n not in e or e[0] == e[1] for e in edges)}
+    assert got == {n: c for n, c in least.items() if n not in alone}
+
+
+def test_links_within_one_bit(spark, monkeypatch):
+    rng = random.Random(4)
+    seeds = [rng.getrandbits(64) for _ in range(20)]
+    found = sorted({near(rng, s, 3) for s in seeds for _ in range(12)})
+    for crowd in (simhash.CROWD, 3):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        fps = spark.createDataFrame([(signed(x),) for x in found], "fp long")
+        parts = {r.node: r.component for r in components(simhash.links(fps, threshold=1)).collect()}
+        least = {x: x for x in found}
+        for _ in found:
+            for x in found:
+                for y in found:
+                    if (x ^ y).bit_count() <= 1:
+                        least[x] = least[y] = min(least[x], least[y])
+        for x in found:
+            for y in found:
+                assert (least[x] == least[y]) == (parts.get(signed(x), signed(x)) == parts.get(signed(y), signed(y)))
+
+
+def test_clashing_columns(spark, odd):
+    from chronokg.llm import bpe
+    import public_tokenizers
+
+    clash = odd.withColumn("fp", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("Decoded", F.lit(1))
+    assert simhash.fingerprints(clash).columns[-1] == "fp" and simhash.fingerprints(clash).count() == odd.count()
+    coded = bpe.encode_decode(clash, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert coded.columns[-2:] == ["ids", "decoded"] and coded.count() == odd.count()

@@ -12,7 +12,7 @@ HUB_LEAST, HUBS = 256, 5_000
 
 
 def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
-    """One star step over ``n_edges`` edges (a, b) with b < a.
+    """One star step over at most ``n_edges`` edges (a, b) with b < a; it gives no more.
 
     Minima are combined before the shuffle, and no neighbourhood is gathered: a
     hub's edges stay where they are and meet its minimum by a broadcast of at
@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     most = max(HUB_LEAST, 2 * n_edges // HUBS)
-    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
     hubs = F.broadcast(least.where(F.col("n") > most).select("a", "m"))
     rest = both.join(hubs, "a", "left_anti").join(least.where(F.col("n") <= most).select("a", "m"), "a")
     seen = both.join(hubs, "a").unionByName(rest)
@@ -43,13 +43,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = materialize(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
+        .distinct(),
+        tidy=True,
     )
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(now)
     for _ in range(most_rounds if before[0] else 0):
-        turned = materialize(_star(now, True, before[0]))
-        now = materialize(_star(turned, False, turned.count()))
+        now = materialize(_star(now, True, before[0]), tidy=True)
+        now = materialize(_star(now, False, before[0]), tidy=True)
         after = mark(now)
         if after == before:
             break

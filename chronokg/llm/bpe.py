@@ -3,8 +3,8 @@
 A text is cut into chunks at single spaces between two other characters that
 aren't white space, where the pre-token pattern always cuts too; each chunk is
 matched by the pattern, each match looked up, and merged if it isn't in the
-vocabulary. What a worker has found for a chunk it keeps, up to ``KEPT`` chunks
-in each of two generations.
+vocabulary. What a worker has found it keeps, up to ``KEPT`` chunks and
+``KEPT_PIECES`` matches in each of two generations.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from chronokg.llm.common import arrow_batches, as_bytes, fresh
 
-KEPT = 100_000
+KEPT, KEPT_PIECES = 60_000, 300_000
 _MASK = (1 << 64) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: A part that starts or ends with white space, or is empty, can't be cut off at its spaces.
@@ -158,7 +158,7 @@ class Chunks(dict):
 class Pieces(dict):
     """Pre-token → packed ids by ``encode``; two generations bound it."""
 
-    def __init__(self, encode, kept: int = KEPT):
+    def __init__(self, encode, kept: int = KEPT_PIECES):
         super().__init__()
         self.encode, self.kept, self.old = encode, kept, {}
 

@@ -81,7 +81,9 @@ def contains(index):
 
 def chapters(windows: DataFrame) -> DataFrame:
     """Windows (book_number, chapter, ranges, entities) rolled up by chapter."""
-    at = ["book_number", "chapter"]
+    from chronokg.sources.store import checkpointed
+
+    at, windows = ["book_number", "chapter"], checkpointed(windows)  # read once for the ranges and once for each set
     ranges = windows.groupBy(*at).agg(F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end"), F.count("*").alias("n_windows"))
     for name in ("entities", "relationships"):
         if name in windows.columns:  # sets are made of single values, combined before the shuffle

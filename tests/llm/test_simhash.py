@@ -119,7 +119,7 @@ def test_components_of_hubs(spark, monkeypatch):
 
 def test_links_within_one_bit(spark, monkeypatch):
     rng = random.Random(4)
-    seeds = [rng.getrandbits(64) for _ in range(20)]
+    seeds = [rng.getrandbits(64) for _ in range(8)]
     found = sorted({near(rng, s, 3) for s in seeds for _ in range(12)})
     for crowd in (simhash.CROWD, 3):
         monkeypatch.setattr(simhash, "CROWD", crowd)

@@ -234,9 +234,15 @@ def blocks(page: str) -> list[Block]:
     return own.out
 
 
-def stop_share(text: str) -> float:
+def stop_counts(text: str) -> tuple[int, int]:
+    """A text's stop words and words."""
     words = _WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return sum(map(STOP_WORDS.__contains__, words)), len(words)
+
+
+def stop_share(text: str) -> float:
+    stops, words = stop_counts(text)
+    return stops / max(1, words)
 
 
 def settle_parts(found: list[Block]) -> bool:
@@ -265,8 +271,8 @@ def settle_parts(found: list[Block]) -> bool:
 
 def first_pass(found: list[Block], marked: bool) -> list[int]:
     """Each block's label by link density, stop words and length."""
-    text = " ".join(b.text for b in found if not b.outside)
-    foreign = stop_share(text) < STOPS_LOW
+    counts = [(0, 0) if b.outside else stop_counts(b.text) for b in found]
+    foreign = sum(s for s, _ in counts) < STOPS_LOW * max(1, sum(w for _, w in counts))
     listed = [b.item and b.linked > 0.8 for b in found]
     out = []
     for i, b in enumerate(found):
@@ -278,7 +284,7 @@ def first_pass(found: list[Block], marked: bool) -> list[int]:
         elif n < SHORT and (marked or b.linked <= LINKS):
             out.append(OPEN)
         else:
-            stops = STOPS_HIGH if foreign else stop_share(b.text)
+            stops = STOPS_HIGH if foreign else counts[i][0] / max(1, counts[i][1])
             linked = b.linked > LINKS and (n < 2 * SHORT or stops < STOPS_HIGH or b.linked > 0.8)
             good = stops >= STOPS_HIGH or stops >= STOPS_LOW and n >= 2 * SHORT
             out.append(OPEN if linked and marked else BAD if linked else GOOD if good and not (foreign and n < 2 * SHORT) else OPEN)

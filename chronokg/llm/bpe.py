@@ -4,7 +4,7 @@ A text is cut into chunks at single spaces between two other characters that
 aren't white space, where the pre-token pattern always cuts too; each chunk is
 matched by the pattern, each match looked up, and merged if it isn't in the
 vocabulary. What a worker has found it keeps, up to ``KEPT`` chunks and
-``KEPT_PIECES`` matches in each of two generations.
+as many matches in each of two generations, or fewer where memory is short.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from chronokg.llm.common import arrow_batches, as_bytes, fresh
 
-KEPT, KEPT_PIECES = 60_000, 300_000
+KEPT = 350_000
 _MASK = (1 << 64) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: A part that starts or ends with white space, or is empty, can't be cut off at its spaces.
@@ -158,7 +158,7 @@ class Chunks(dict):
 class Pieces(dict):
     """Pre-token → packed ids by ``encode``; two generations bound it."""
 
-    def __init__(self, encode, kept: int = KEPT_PIECES):
+    def __init__(self, encode, kept: int = KEPT):
         super().__init__()
         self.encode, self.kept, self.old = encode, kept, {}
 
@@ -175,16 +175,16 @@ class Pieces(dict):
         return found
 
 
-def chunks_by(pattern: str, encode) -> Chunks:
-    """Chunks whose pre-tokens by ``pattern`` go through ``encode(piece) -> ids``."""
-    find, found = regex.compile(pattern).findall, Pieces(encode)
-    return Chunks(lambda chunk: b"".join(map(found.__getitem__, find(chunk))))
+def chunks_by(pattern: str, encode, kept: tuple[int, int] = (KEPT, KEPT)) -> Chunks:
+    """Chunks whose pre-tokens by ``pattern`` go through ``encode(piece) -> ids``; ``kept`` bounds chunks and pre-tokens."""
+    find, found = regex.compile(pattern).findall, Pieces(encode, kept[1])
+    return Chunks(lambda chunk: b"".join(map(found.__getitem__, find(chunk))), kept[0])
 
 
 class Codec:
     """Encoder and decoder of one vocabulary and pattern, with little-endian unsigned 32-bit ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: tuple[int, int] = (KEPT, KEPT)):
         self.tokens = {rank: token for token, rank in ranks.items()}
         whole = PerfectHash(list(ranks), list(ranks.values()))
 
@@ -192,7 +192,7 @@ class Codec:
             body = piece.encode()
             return [rank] if (rank := whole.get(body)) >= 0 else merge(body, ranks)
 
-        self.chunks = chunks_by(pattern, two_tiers)
+        self.chunks = chunks_by(pattern, two_tiers, kept)
 
     def encode(self, text: str) -> bytes:
         return self.chunks.text(text) if text else b""
@@ -202,12 +202,12 @@ class Codec:
 
 
 @cache
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, kept: tuple[int, int] = (KEPT, KEPT)) -> Codec:
     """One per worker and vocabulary."""
-    return Codec(read_ranks(path), pattern)
+    return Codec(read_ranks(path), pattern, kept)
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", digests: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", digests: bool = False, kept_in_memory: tuple[int, int] = (KEPT, KEPT)) -> DataFrame:
     """Each row of ``docs`` without its text, with its ids and the bytes that they decode to.
 
     ``ids`` is an array of int, ``decoded`` binary; with ``digests`` they are
@@ -227,7 +227,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
         schema = schema.withColumn(name, F.lit(None).cast(kind))
 
     def run(batches):
-        own = codec(path, pattern)
+        own = codec(path, pattern, kept_in_memory)
         for batch in batches:
             packed = [own.encode(x.decode("utf-8", "replace")) for x in batch.column(len(kept)).to_pylist()]
             if digests:

@@ -35,7 +35,7 @@ def collapse(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """The sentences of a text without blank ones; null has none."""
     parts = F.split(collapse(F.coalesce(text, F.lit(""))), SENTENCE_GAP)
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def quarter(text: str) -> int:

@@ -363,3 +363,8 @@ def test_compat_reader(spark, tmp_path):
     import hashlib
 
     assert store.load_compat(spark, str(tmp_path), "relationships").first().id == hashlib.md5(b"a|b|1|c").hexdigest()
+
+
+def test_sentences_keep_digits_that_are_their_place(spark):
+    found = spark.range(1).select(T.sentences(F.lit("0 и 0. 1 и 1. Да. 3 раза 33. 44 раза из 4")).alias("s")).first().s
+    assert found == ["0 и 0.", "1 и 1.", "Да.", "3 раза 33.", "44 раза из 4"]

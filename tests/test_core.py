@@ -368,3 +368,19 @@ def test_compat_reader(spark, tmp_path):
 def test_sentences_keep_digits_that_are_their_place(spark):
     found = spark.range(1).select(T.sentences(F.lit("0 и 0. 1 и 1. Да. 3 раза 33. 44 раза из 4")).alias("s")).first().s
     assert found == ["0 и 0.", "1 и 1.", "Да.", "3 раза 33.", "44 раза из 4"]
+
+
+@pytest.fixture(scope="module")
+def digits(spark, tmp_path_factory):
+    """Documents of sentences that start and end with their place's digits, long ones too, and the SQL's view of them."""
+    at = str(tmp_path_factory.mktemp("digits"))
+    texts = [" ".join(f"{i} {'word ' * (i * k)}and {i}." for i in range(24)) for k in (0, 1, 9)] + [None, "", "0. 1. 2", "1 word 1. 1 word 1. 22 words 22"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet/*.parquet'")
+    return at, c
+
+
+def test_greedy_chunks_keep_digits(spark, digits):
+    want = digits[1].execute(registry.ORACLE_SQL["greedy_chunks"]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["greedy_chunks"](spark, digits[0]).collect())) == sorted(want)

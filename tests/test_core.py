@@ -384,3 +384,8 @@ def digits(spark, tmp_path_factory):
 def test_greedy_chunks_keep_digits(spark, digits):
     want = digits[1].execute(registry.ORACLE_SQL["greedy_chunks"]).fetchall()
     assert sorted(map(tuple, registry.QUERIES["greedy_chunks"](spark, digits[0]).collect())) == sorted(want)
+
+
+def test_chunk_stats_keep_digits(spark, digits):
+    want = digits[1].execute(registry.ORACLE_SQL["chunk_stats"]).fetchall()
+    assert list(map(tuple, registry.QUERIES["chunk_stats"](spark, digits[0]).collect())) == want

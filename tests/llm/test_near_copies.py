@@ -103,3 +103,26 @@ def test_odd_rows(spark, sf, odd, empty):
     assert found.columns == odd.columns
     assert kept(spark, odd, sf) == brute_kept(rows)
     assert kept(spark, empty, sf) == []
+
+
+def test_a_cell_sends_fewer_links_than_it_has_members(spark, monkeypatch):
+    """Of two crowds under one key only one holds the key's least member; the other's hundreds of near pairs stay in their cell."""
+    rng, rows, sent, real = random.Random(4), [], [], jaccard._cell_links
+    for _ in range(2):
+        base = [f"word{rng.randrange(10**6)}" for _ in range(120)]
+        rows += [(" ".join([*base[:i], "other", *base[i + 1 :]]),) for i in range(10, 110, 2)]
+    monkeypatch.setattr(jaccard, "band_keys", lambda grams: [1] if len(grams) else [])
+
+    def counted(cells, least):
+        sent.append((cells.count(), real(cells, least).count()))
+        return real(cells, least)
+
+    monkeypatch.setattr(jaccard, "_cell_links", counted)
+    docs = spark.createDataFrame(rows, "text string")
+    nodes = [jaccard.node(jaccard.shingles(t.encode(), 5)) for (t,) in rows]
+    for tile_grams in (jaccard.TILE_GRAMS, 2_000):  # one cell, then tiles of 17 members
+        monkeypatch.setattr(jaccard, "TILE_GRAMS", tile_grams)
+        found = {r.node: r.component for r in jaccard.groups(docs).collect()}
+        assert [found[x] for x in nodes] == [found[nodes[0]]] * 50 + [found[nodes[50]]] * 50 and len(set(found.values())) == 2
+    (one, links), (several, more) = sent
+    assert 0 < links < one == 100 and one < several and more < several

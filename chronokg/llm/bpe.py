@@ -27,9 +27,12 @@ from chronokg.llm.common import arrow_batches, as_bytes, fresh
 
 KEPT = 350_000
 _MASK = (1 << 64) - 1
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: A part that starts or ends with white space, or is empty, can't be cut off at its spaces.
 _OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Patterns by which letters after a space are one pre-token, whatever follows, and one mark of ``_ENDS`` after them another: what stands before that alternative starts with an apostrophe.
+_WORDS, _ENDS = re.compile(r"(?:'[a-z]+\|)* \?\\p\{L\}\+\| \?\\p\{N\}\+\| \?\[\^\\s\\p\{L\}\\p\{N\}\]\+\|"), frozenset(",.;:!?")
 _OPEN = re.compile(r"^$|^[\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85]$")
 
 
@@ -117,16 +120,23 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Chunks(dict):
-    """Chunk → packed ids. A chunk stands after a space. Two generations bound it."""
+    """Chunk → packed ids. A chunk stands after a space. Two generations bound it. ``word``, if given, encodes single pre-tokens, of which letters after a space are one."""
 
-    def __init__(self, encode, kept: int = KEPT):
+    def __init__(self, encode, kept: int = KEPT, word=None):
         super().__init__()
-        self.encode, self.kept, self.old = encode, kept, {}
+        self.encode, self.kept, self.old, self.word = encode, kept, {}, word
 
     def __missing__(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
         if found is None:
-            found = self.encode(" " + chunk)
+            if self.word is None:
+                found = self.encode(" " + chunk)
+            elif chunk.isalpha():
+                found = self.word(" " + chunk)
+            elif (end := chunk[-1:]) in _ENDS and (word := chunk[:-1]).isalpha():
+                found = self.word(" " + word) + self.word(end)
+            else:
+                found = self.encode(" " + chunk)
         if len(chunk) < 200:
             if len(self) >= self.kept:
                 self.old = dict(self)
@@ -166,7 +176,7 @@ class Pieces(dict):
         found = self.old.get(piece)
         if found is None:
             ids = self.encode(piece)
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = _PACKS[n](*ids) if (n := len(ids)) < len(_PACKS) else struct.pack(f"<{n}I", *ids)
         if len(piece) < 100:
             if len(self) >= self.kept:
                 self.old = dict(self)
@@ -178,7 +188,7 @@ class Pieces(dict):
 def chunks_by(pattern: str, encode, kept: tuple[int, int] = (KEPT, KEPT)) -> Chunks:
     """Chunks whose pre-tokens by ``pattern`` go through ``encode(piece) -> ids``; ``kept`` bounds chunks and pre-tokens."""
     find, found = regex.compile(pattern).findall, Pieces(encode, kept[1])
-    return Chunks(lambda chunk: b"".join(map(found.__getitem__, find(chunk))), kept[0])
+    return Chunks(lambda chunk: b"".join(map(found.__getitem__, find(chunk))), kept[0], found.__getitem__ if _WORDS.match(pattern) else None)
 
 
 class Codec:

@@ -133,7 +133,14 @@ def _library(path: str, pattern: str):
 
     own, alphabet = Tokenizer.from_file(path), _alphabet()
     tokenize = own.model.tokenize
-    return own, chunks_by(pattern, lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))])
+    space = alphabet[32]
+
+    def encode(piece: str) -> list[int]:
+        if piece.isascii() and (word := piece[1:]).isalpha() and piece[0] == " ":
+            return [t.id for t in tokenize(space + word)]
+        return [t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))]
+
+    return own, chunks_by(pattern, encode)
 
 
 def _encoder(path: str, pattern: str, added: bool):

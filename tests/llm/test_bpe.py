@@ -1,10 +1,12 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 
 from chronokg.llm import bpe, packed_ids
@@ -114,3 +116,19 @@ def test_query_gives_added_tokens_their_ids(spark, tmp_path):
         want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, QUERIES["op5_packed_token_ids"](spark, str(tmp_path)).collect())) == want
+
+
+def test_plain_words_skip_the_pattern():
+    """Letters after a space, and a mark after them, are pre-tokens without the pattern; patterns of another shape are always asked."""
+    assert all(regex.fullmatch(r"\p{L}", c) for c in map(chr, range(0x110000)) if c.isalpha())
+    codec, asked = bpe.chunks_by(P.PATTERN, lambda piece: list(piece.encode())), []
+    texts = ["one two, three. 日本語 слово! don't it's a.b x, ,y z;; 12 3a a3 ﬁ, é́ word", "a , b  c, \n d.\te? f"]
+    want = [b"".join(struct.pack(f"<{len(p)}I", *p) for p in map(str.encode, regex.findall(P.PATTERN, t))) for t in texts]
+    assert [codec.text(t) for t in texts] == want
+    for pattern, n in ((P.PATTERN, 1), (r"\s?\p{L}|.", 3)):
+        chunks = bpe.chunks_by(pattern, lambda piece: [len(piece)])
+        inner = chunks.encode
+        chunks.encode = lambda chunk, inner=inner: (asked.append(chunk), inner(chunk))[1]
+        chunks.text("one two three,")
+        assert len(asked) == n, asked
+        asked.clear()
